@@ -35,3 +35,44 @@ def words(text: str | Column, sep: str = SPACE) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def signature(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and an order-free hash of them."""
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("x")).first()
+    return r["n"], r["x"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of undirected edges (a, b); root is the smallest node of the component.
+
+    Alternating large-star and small-star steps, each on joins and minima by key, until the edges no longer change;
+    every round is checkpointed.  Nothing but a count and a hash reaches the driver.
+    """
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e = checkpoint(e)
+    seen = signature(e)
+    while seen[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = signature(e)
+        if now == seen:
+            break
+        seen = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def text_bytes(column) -> list:
+    """An Arrow string column as bytes; None for null."""
+    import pyarrow as pa
+
+    return column.cast(pa.large_binary()).to_pylist()
+
+
+def ordered_id(name: str = "doc_id") -> Column:
+    """doc_id with null after every other id."""
+    return F.coalesce(F.col(name).cast("long"), F.lit((1 << 63) - 1))
