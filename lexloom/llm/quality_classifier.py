@@ -2,10 +2,12 @@
 
 Two generative models over hashed words and word pairs (``BUCKETS`` counts each): one of the raw text, counted over
 all documents, and one of the target text, counted over the good documents (quality 1, not toxic) of at most
-``LABELLED`` labelled rows, drawn by a hash of doc_id.  A document's log importance weight is the log ratio of its
-likelihoods under the two.  The sample drawn is the Gumbel top-k of log weight + Gumbel noise (a fixed hash of doc_id),
+``LABELLED`` labelled rows, drawn by a hash of doc_id; every second good row is kept apart for the level below.  Target
+counts are smoothed by ``SMOOTH`` pseudo-counts of the raw model, so a bucket seen too rarely to tell has ratio 1.  A
+document's log importance weight is the log ratio of its likelihoods under the two, tempered to a text of ``LENGTH`` features (else
+long documents are drawn or not by their length alone).  The sample drawn is the Gumbel top-k of log weight + Gumbel noise (a fixed hash of doc_id),
 which is sampling without replacement in proportion to the weights; k is the number of documents whose weight per
-feature reaches the level that all but ``MISS`` of the labelled good documents reach.  The k-th key is found by
+feature reaches the level that all but ``MISS`` of the good documents kept apart reach.  The k-th key is found by
 refining histograms of the keys, never by sorting documents in one task.
 
 Edge cases: a null or empty text has no features, weight 0 per feature, and is kept or not like any other; labels of unknown documents and null labels are not used;
@@ -27,8 +29,9 @@ from .textvec import lower, mix, prefix, span_hash, word_spans
 
 BUCKETS = 1 << 16
 LABELLED = 20_000
-SMOOTH = 0.5
+SMOOTH = 3.0
 MISS = 0.002
+LENGTH = 200
 SEED = 11
 BINS = 4096
 
@@ -66,18 +69,20 @@ def labelled(labels: DataFrame, most: int = LABELLED) -> dict[int, bool]:
     return {r["doc_id"]: r["good"] for r in rows}
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, bool]]:
-    """Log ratio of every bucket, and the labels used."""
-    good = labelled(labels)
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Log ratio of every bucket, and the good documents kept apart."""
+    good = sorted(i for i, v in labelled(labels).items() if v)
+    apart = good[::2] if len(good) > 1 else good
+    good = dict.fromkeys(good[1::2] or good, True)
     said = docs.sparkSession.sparkContext.broadcast(good)
     c = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counter(said), "f long, raw long, good long")
     c = c.groupBy("f").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     n = np.zeros((2, BUCKETS))
     n[0, c["f"]], n[1, c["f"]] = c["raw"], c["good"]
     if not n[1].sum():
-        return np.zeros(BUCKETS), good
-    share = lambda x: np.log((x + SMOOTH) / (x.sum() + SMOOTH * BUCKETS))
-    return share(n[1]) - share(n[0]), good
+        return np.zeros(BUCKETS), apart
+    due = n[0] * (n[1].sum() / n[0].sum())
+    return np.log((n[1] + SMOOTH) / (due + SMOOTH)), apart
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
@@ -117,12 +122,11 @@ def kth(keys: DataFrame, column: str, k: int) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, log_weight, n_features, key, kept) for every row; kept rows are the Gumbel top-k."""
-    ratio, good = fit(docs, labels)
+    ratio, fine = fit(docs, labels)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
     rows = weights(docs, ratio).withColumn("rate", F.col("log_weight") / F.greatest("n_features", F.lit(1)))
-    rows = checkpoint(rows.withColumn("key", F.col("log_weight") - F.log(-F.log(u))))
+    rows = checkpoint(rows.withColumn("key", LENGTH * F.col("rate") - F.log(-F.log(u))))
     spark = docs.sparkSession
-    fine = [i for i, v in good.items() if v]
     level = -float("inf")
     if fine:
         said = spark.createDataFrame([(i,) for i in fine], "doc_id long")
