@@ -37,6 +37,8 @@ MIN_LEN, GRAM = 50, 18
 #: Input bytes that a bucket stands for.
 BUCKET_BYTES = 8 << 20
 HOT = 200
+#: Bytes of contexts in one suffix array; a key's contexts stay together.
+SCAN_BYTES = 1 << 19
 #: Bytes by which suffixes are ordered (a context of one key has 82 at most, but for periodic text); common prefixes count up to here.
 ORDER = 88
 
@@ -71,6 +73,21 @@ def _slices(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+def _ids(keys: np.ndarray, n: int) -> np.ndarray:
+    """What a bucket compares of a key: the bucket and 32 bits inside it; a chance match only adds a candidate."""
+    return (_slices(keys, n).astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def _pack(o: np.ndarray) -> tuple[int, bytes]:
+    """Numbers as 4-byte distances from the least, or as they are where these don't fit."""
+    low = int(o.min())
+    return (low, (o - low).astype(np.uint32).tobytes()) if int(o.max()) - low < 1 << 32 else (low, o.tobytes())
+
+
+def _unpack(low: int, n: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32).astype(np.int64) + low if len(data) == 4 * n else np.frombuffer(data, np.int64)
+
+
 def _blocks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and starts (with the end) of the runs of a sorted array."""
     at = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1)) if len(cells) else np.zeros(0, np.int64)
@@ -103,14 +120,16 @@ def _offer(nb: int):
             if not (keys := np.concatenate([np.zeros(0, np.uint64), *each])).size:
                 continue
             o = np.repeat(ids, [len(k) for k in each])
+            keys = _ids(keys, nb)
             order = np.argsort(keys, kind="stable")
             keys, o = keys[order], o[order]
             values, at = _blocks(keys)
             least = np.minimum.reduceat(o, at[:-1])
             many = np.repeat(np.diff(at) > 1, np.diff(at))
             rows = list(_by_document(o[many], keys[many], np.zeros(int(many.sum()), np.uint8), nb))
-            cells, cut = _blocks(_slices(values, nb))
-            rows += [(c, None, values[x:y].tobytes(), least[x:y].tobytes()) for c, x, y in zip(cells.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            cells, cut = _blocks((values >> np.uint64(32)).astype(np.int32))
+            low = values.astype(np.uint32)
+            rows += [(c, p[0], low[x:y].tobytes(), p[1]) for c, x, y in zip(cells.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in [_pack(least[x:y])]]
             yield _key_batch(rows)
 
     return run
@@ -122,14 +141,15 @@ def _share(nb: int, hot: int):
     def run(t: pa.Table) -> pa.Table:
         if t.num_rows == 0 or t.column("b")[0].as_py() < 0:
             return t
-        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint64)
-        o = np.frombuffer(b"".join(t.column("extra").to_pylist()), np.int64)
+        b, data = t.column("b")[0].as_py(), t.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(data), np.uint32)
+        o = np.concatenate([_unpack(low, len(x) // 4, y) for low, x, y in zip(t.column("o").to_pylist(), data, t.column("extra").to_pylist(), strict=True)])
         order = np.argsort(keys, kind="stable")
         keys, o = keys[order], o[order]
         _, at = _blocks(keys)
         n = np.repeat(np.diff(at), np.diff(at))
         many = n > 1
-        return pa.Table.from_batches([_key_batch(list(_by_document(o[many], keys[many], (n[many] > hot).astype(np.uint8), nb)))])
+        return pa.Table.from_batches([_key_batch(list(_by_document(o[many], keys[many].astype(np.uint64) | np.uint64(b << 32), (n[many] > hot).astype(np.uint8), nb)))])
 
     return run
 
@@ -175,13 +195,12 @@ def _cut(nb: int):
                 t = t or b""
                 own = window_keys(t)
                 lo, hi = runs(own)
-                shared, at = np.unique(np.frombuffer(b"".join(ks), np.uint64), return_index=True)
-                hot_all = np.frombuffer(b"".join(ks), np.uint64)[np.frombuffer(b"".join(hs), np.uint8) > 0]
-                del at
-                has = np.isin(own[lo], shared)
+                shared = np.frombuffer(b"".join(ks), np.uint64)
+                ids = _ids(own[lo], nb)
+                has = np.isin(ids, shared)
                 lo, hi = lo[has], hi[has]
                 k = own[lo]
-                hot = np.isin(k, hot_all)
+                hot = np.isin(ids[has], shared[np.frombuffer(b"".join(hs), np.uint8) > 0])
                 for key, s, e in zip(k[~hot].view(np.int64).tolist(), lo[~hot].tolist(), hi[~hot].tolist(), strict=True):
                     meet(key, t[s : e + MIN_LEN], o, h, s)
                 if hot.any():
@@ -288,7 +307,7 @@ def _settle(nb: int):
             if len(cs) > 1:
                 held += [(key, c) for c in cs]
                 total += sum(map(len, cs))
-                if total > 4 << 20:
+                if total > SCAN_BYTES:
                     scan()
         scan()
         return pa.Table.from_batches([_ctx_batch(_settled(spans, nb))])
