@@ -13,7 +13,7 @@ occurrences.  Every occurrence of a repeat in a document after the repeat's firs
 by document.
 
 Bounds: buckets follow the size of the input; a key adds one row a batch to its bucket; a key found in more than
-``HOT`` batches is dealt again by whole windows.  Nothing is dropped or capped.
+``HOT`` batches is dealt by its distinct windows instead, and so is periodic text.  Nothing is dropped or capped.
 
 Edge cases: null and empty texts have 0 bytes; texts under MIN_LEN bytes lose nothing; null ids come after all others;
 rows with one doc_id never remove from each other, and repeated rows are judged alike; an empty table gives an empty
@@ -43,18 +43,21 @@ SCAN_BYTES = 1 << 19
 ORDER = 88
 
 
-def window_keys(text: bytes) -> np.ndarray:
-    """Key of every window of MIN_LEN bytes of a text."""
+def window_keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every window of MIN_LEN bytes of a text, and whether both halves of the window hold it, as in periodic text."""
     if len(text) < MIN_LEN:
-        return np.zeros(0, np.uint64)
-    return sliding_min(gram_hash(np.frombuffer(text, np.uint8), GRAM), MIN_LEN - GRAM + 1)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    grams, half = gram_hash(np.frombuffer(text, np.uint8), GRAM), (MIN_LEN - GRAM + 1) // 2
+    first, second = sliding_min(grams, half), sliding_min(grams[half:], MIN_LEN - GRAM + 1 - half)
+    first = first[: len(second)]
+    return np.minimum(first, second), first == second
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of every run of equal keys."""
+def runs(keys: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of every run of like windows."""
     if not len(keys):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(keys[1:] != keys[:-1])
+    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (twice[1:] != twice[:-1]))
     return np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(keys) - 1]))
 
 
@@ -116,7 +119,7 @@ def _offer(nb: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(1).to_numpy(zero_copy_only=False)
-            each = [np.unique(k[runs(k)[0]]) for k in map(window_keys, (t or b"" for t in text_bytes(b.column(3))))]
+            each = [np.unique(k[runs(k, r)[0]]) for k, r in map(window_keys, (t or b"" for t in text_bytes(b.column(3))))]
             if not (keys := np.concatenate([np.zeros(0, np.uint64), *each])).size:
                 continue
             o = np.repeat(ids, [len(k) for k in each])
@@ -154,8 +157,8 @@ def _share(nb: int, hot: int):
     return run
 
 
-CONTEXTS = "b int, k long, ctx binary, o long, h long, s int, spans binary"
-_CTX_TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+CONTEXTS = "b int, k long, ctx binary, o long, h long, s binary, spans binary"
+_CTX_TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
 
 def _ctx_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -172,43 +175,47 @@ def _cut(nb: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+            first: dict[tuple[int, bytes], tuple[int, int, list[int]]] = {}
             spans: dict[tuple[int, int], list] = {}
+            again: list[tuple] = []
 
-            def meet(k: int, ctx: bytes, o: int, h: int, s: int, first=first, spans=spans) -> None:
-                known = first.get((k, ctx))
-                if known is None:
-                    first[k, ctx] = (o, h, s)
+            def meet(k: int, ctx: bytes, o: int, h: int, s: list[int], first=first, spans=spans, again=again) -> None:
+                known = first.setdefault((k, ctx), (o, h, s))
+                if known[2] is s:
+                    return
+                if known[:2] == (o, h):
+                    known[2].extend(s)
                     return
                 if known[0] > o:
                     first[k, ctx] = (o, h, s)
-                    known, o, h, s = (o, h, s), *known
+                    known, (o, h, s) = (o, h, s), known
                 if o > known[0]:
-                    spans.setdefault((o, h), []).append((s, s + len(ctx)))
-                # a second place in the same document needs no row: the later batch or bucket settles it with the first
-                elif (h, s) != known[1:]:
+                    spans.setdefault((o, h), []).extend((x, x + len(ctx)) for x in s)
+                else:  # another text with the same doc_id: the bucket settles both
                     again.append((k, ctx, o, h, s))
 
-            again: list[tuple] = []
             keys, extra = b.column(4).to_pylist(), b.column(5).to_pylist()
             for o, h, t, ks, hs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3)), keys, extra, strict=True):
                 t = t or b""
-                own = window_keys(t)
-                lo, hi = runs(own)
+                own, twice = window_keys(t)
+                lo, hi = runs(own, twice)
                 shared = np.frombuffer(b"".join(ks), np.uint64)
                 ids = _ids(own[lo], nb)
                 has = np.isin(ids, shared)
                 lo, hi = lo[has], hi[has]
                 k = own[lo]
-                hot = np.isin(ids[has], shared[np.frombuffer(b"".join(hs), np.uint8) > 0])
+                hot = np.isin(ids[has], shared[np.frombuffer(b"".join(hs), np.uint8) > 0]) | twice[lo]
                 for key, s, e in zip(k[~hot].view(np.int64).tolist(), lo[~hot].tolist(), hi[~hot].tolist(), strict=True):
-                    meet(key, t[s : e + MIN_LEN], o, h, s)
+                    meet(key, t[s : e + MIN_LEN], o, h, [s])
                 if hot.any():
                     whole = mix(gram_hash(np.frombuffer(t, np.uint8), MIN_LEN))
-                    for s, e in zip(lo[hot].tolist(), hi[hot].tolist(), strict=True):
-                        for p, key in enumerate(whole[s : e + 1].view(np.int64).tolist(), s):
-                            meet(key, t[p : p + MIN_LEN], o, h, p)
-            rows = [(k, ctx, *v) for (k, ctx), v in first.items()] + again
+                    at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo[hot], hi[hot], strict=True)])
+                    at = at[np.argsort(whole[at], kind="stable")]
+                    values, cut = _blocks(whole[at])
+                    for key, x, y in zip(values.view(np.int64).tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                        p = int(at[x])
+                        meet(key, t[p : p + MIN_LEN], o, h, at[x:y].tolist())
+            rows = [(k, ctx, o, h, np.array(s, np.int32).tobytes()) for k, ctx, o, h, s in [(*x, *v) for x, v in first.items()] + again]
             cells = _slices(mix(np.array([r[0] for r in rows], np.int64).view(np.uint64)), nb).tolist() if rows else []
             yield _ctx_batch([(c, *r, None) for c, r in zip(cells, rows, strict=True)] + _settled(spans, nb))
 
@@ -275,18 +282,19 @@ def _settle(nb: int):
         if t.num_rows == 0 or t.column("b")[0].as_py() < 0:
             return t
         k, ctx, o, h, s = (t.column(c).to_pylist() for c in ("k", "ctx", "o", "h", "s"))
-        places: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        places: dict[tuple[int, bytes], list[tuple[int, int, bytes]]] = {}
         for key, c, *place in zip(k, ctx, o, h, s, strict=True):
             places.setdefault((key, c), []).append(tuple(place))
+        lose = lambda at, lo, hi: spans.setdefault(at[:2], []).extend((z + lo, z + hi) for z in np.frombuffer(at[2], np.int32).tolist())
         spans: dict[tuple[int, int], list] = {}
         kinds: dict[int, list[bytes]] = {}
         for (key, c), at in places.items():
             kinds.setdefault(key, []).append(c)
             if len(at) > 1:
                 least = min(at)[0]
-                for x, y, z in at:
-                    if x > least:
-                        spans.setdefault((x, y), []).append((z, z + len(c)))
+                for x in at:
+                    if x[0] > least:
+                        lose(x, 0, len(c))
         held: list[tuple[int, bytes]] = []
         total = 0
 
@@ -298,9 +306,9 @@ def _settle(nb: int):
                 for length, cs, offs in maximal_repeats([x[1] for x in held], groups):
                     docs = least[cs]
                     for c, p in zip(cs[docs > docs.min()].tolist(), offs[docs > docs.min()].tolist(), strict=True):
-                        for x, y, z in places[held[c]]:
-                            if x == least[c]:
-                                spans.setdefault((x, y), []).append((z + p, z + p + length))
+                        for x in places[held[c]]:
+                            if x[0] == least[c]:
+                                lose(x, p, p + length)
             held, total = [], 0
 
         for key, cs in kinds.items():
