@@ -33,53 +33,73 @@ BLOCK, HUBS = 16, 6
 _MULT = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))[None, :]
 
 
-def paragraphs(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(line, normal form, distinct shingle hashes) of the paragraphs of a text."""
+def paragraphs(text: bytes, min_words: int = MIN_WORDS, shingled: bool = True) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+    """Lines, normal forms, shingle hashes (with repeats) and the start of each paragraph's shingles, for the paragraphs of a text."""
     data = lower(np.frombuffer(text, np.uint8))
     start, end = word_spans(data)
     if len(start) < min_words:
-        return
+        return [], [], np.zeros(0, np.uint64), np.zeros(1, np.int64)
     line = np.searchsorted(np.flatnonzero(data == 10), start)
-    h = span_hash(prefix(data), start, end)
-    n = len(h) - SHINGLE + 1
-    s = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE):
-        s = mix(s * np.uint64(31) + h[k : k + n]) if n > 0 else s
     cut = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1, [len(line)]))
+    keep = np.diff(cut) >= min_words
+    lo, hi = cut[:-1][keep], cut[1:][keep]
     raw = data.tobytes()
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if hi - lo >= min_words:
-            normal = b" ".join(raw[start[lo] : end[hi - 1]].split())
-            if hi - lo >= SHINGLE:
-                yield int(line[lo]), normal, np.unique(s[lo : hi - SHINGLE + 1])
-            else:
-                yield int(line[lo]), normal, mix(h[lo:hi].sum(keepdims=True))
-
-
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """Band keys of a shingle set."""
-    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
-    for k in range(0, len(shingles), 1 << 14):
-        least = np.minimum(least, (shingles[k : k + (1 << 14), None] * _MULT).min(0))
-    key = np.arange(BANDS, dtype=np.uint64)
+    normal = [b" ".join(raw[x:y].split()) for x, y in zip(start[lo].tolist(), end[hi - 1].tolist(), strict=True)]
+    if not shingled or not len(lo):
+        return line[lo].tolist(), normal, np.zeros(0, np.uint64), np.zeros(len(lo) + 1, np.int64)
+    h = np.concatenate((span_hash(prefix(data), start, end), np.zeros(SHINGLE, np.uint64)))
+    n = np.maximum(hi - lo - SHINGLE + 1, 1)  # fewer words than a shingle are one shingle
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+    most = np.repeat(hi, n)
+    s = np.zeros(len(at), np.uint64)
+    for k in range(SHINGLE):
+        s = s * np.uint64(0x9E3779B97F4A7C15) + np.where(at + k < most, h[at + k], np.uint64(k + 1))
+    return line[lo].tolist(), normal, mix(s), np.concatenate(([0], np.cumsum(n)))
+
+
+def bands(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Band keys of each paragraph of a text, one row a paragraph."""
+    least = np.empty((len(at) - 1, BANDS * ROWS), np.uint64)
+    lo = 0
+    while lo < len(least):  # blocks of paragraphs, so that long texts need little memory
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 14), "right")) - 1)
+        least[lo:hi] = np.minimum.reduceat(shingles[at[lo] : at[hi], None] * _MULT, at[lo:hi] - at[lo], axis=0)
+        lo = hi
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS))
     for r in range(ROWS):
-        key = mix(key * np.uint64(31) + least[r::ROWS])
+        key = mix(key * np.uint64(31) + least[:, r::ROWS])
     return key
 
 
+def distinct(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of distinct shingles of each paragraph."""
+    who = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((shingles, who))
+    s, w = shingles[order], who[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (w[1:] != w[:-1])))
+    return np.bincount(w[new], minlength=len(at) - 1)
+
+
 def _rows(min_words: int, banded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            owner, line, dig, size, keys = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, t in enumerate(text_bytes(b.column(2))):
-                for line, normal, s in paragraphs(t or b"", min_words):
-                    for x, v in zip(out, (i, line, xxhash.xxh3_128_digest(normal), len(s), bands(s).view(np.int64).tolist() if banded else []), strict=True):
-                        x.append(v)
-            at = pa.array(out[0], pa.int32())
+                at, normal, s, cut = paragraphs(t or b"", min_words, banded)
+                owner += [i] * len(at)
+                line += at
+                dig += map(xxhash.xxh3_128_digest, normal)
+                if at and banded:
+                    size.append(distinct(s, cut))
+                    keys.append(bands(s, cut).ravel())
+            n = len(owner)
+            owner = pa.array(owner, pa.int32())
+            size, keys = (np.concatenate(size), np.concatenate(keys)) if banded else (np.zeros(n, np.int64), keys[0])
+            offsets = np.arange(n + 1, dtype=np.int32) * (BANDS if banded else 0)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))],
+                [b.column(0).take(owner), b.column(1).take(owner), pa.array(line, pa.int32()), pa.array(dig, pa.binary()), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))],
                 ["o", "h", "line", "dig", "size", "bands"],
             )
 
@@ -90,7 +110,7 @@ ROW = "o long, h long, line int, dig binary, size int, bands array<bigint>"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify from a stream sorted by (band, key): rows of dig, size and number of copies."""
+    """Pairs to verify from a stream sorted by band key: rows of id, size and number of copies."""
 
     def pairs(members: list[tuple]) -> set[tuple]:
         members.sort(key=lambda m: (m[1], m[0]))
@@ -104,16 +124,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return {(min(x[0], y[0]), max(x[0], y[0])) for x, y in out if 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1])}
 
     def batch(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     key, held = None, []
     for b in batches:
         found: list[tuple] = []
-        for band, k, *m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (band, k) != key:
+        for k, *m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != key:
                 if len(held) > 1:
                     found += pairs(held)
-                key, held = (band, k), []
+                key, held = k, []
             held.append(tuple(m))
             if len(held) >= 64 * BLOCK:  # a very large group is read in pieces; its most frequent texts stay with it
                 found += pairs(held)
@@ -129,10 +149,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digs, sets = [], []
         for t, want in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
             lines = {x["line"]: x["dig"] for x in want}
-            for line, _, s in paragraphs(t or b"", 1):
+            at, _, s, cut = paragraphs(t or b"", 1)
+            for k, line in enumerate(at):
                 if line in lines:
                     digs.append(lines[line])
-                    sets.append(s.view(np.int64).tolist())
+                    sets.append(np.unique(s[cut[k] : cut[k + 1]]).view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(digs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["dig", "s"])
 
 
@@ -141,15 +162,17 @@ def clusters(d: DataFrame, min_words: int, similarity: float) -> DataFrame:
     rows = d.select("o", "h", "text").mapInArrow(_rows(min_words, True), ROW)
     place = F.struct("o", "h", "line")
     reps = checkpoint(rows.groupBy("dig").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    b = reps.select(F.posexplode("bands").alias("band", "k"), "dig", "size", "n")
-    pairs = checkpoint(b.repartition("band", "k").sortWithinPartitions("band", "k").select("band", "k", "dig", "size", "n").mapInArrow(_pairs, "a binary, b binary").distinct())
-    want = pairs.select(F.col("a").alias("dig")).unionByName(pairs.select(F.col("b").alias("dig"))).distinct().join(reps.select("dig", "first"), "dig")
+    # a band row names its text by 64 bits of the digest: a chance match adds a pair to verify, no more
+    short = F.xxhash64("dig").alias("id")
+    b = reps.select(F.explode("bands").alias("k"), short, "size", F.least("n", F.lit(1 << 30)).cast("int").alias("n"))
+    pairs = checkpoint(b.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs, "a long, b long").distinct())
+    want = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("dig", "first", short), "id")
     want = want.groupBy(F.col("first.o").alias("o"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "dig")).alias("want"))
     sets = d.select("o", "h", "text").dropDuplicates(["o", "h"]).join(want, ["o", "h"]).select("text", "want").mapInArrow(_sets, "dig binary, s array<bigint>")
-    sets = checkpoint(sets)
-    both = pairs.join(sets.select(F.col("dig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("dig").alias("b"), F.col("s").alias("y")), "b")
+    sets = checkpoint(sets).withColumn("id", short)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("dig").alias("da"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("dig").alias("db"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("da").alias("a"), F.col("db").alias("b"))
     comp = components(links)
     joined = reps.join(comp, reps["dig"] == comp["node"], "left").select("dig", "first", "last", F.coalesce("root", "dig").alias("root"))
     keep = joined.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last")
