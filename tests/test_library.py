@@ -1,0 +1,69 @@
+import math
+
+import pytest
+
+import __spark_entry__ as entry
+from lexloom.functions import text as T
+from lexloom.operators import evalstats, graph, guard, memory, ngram, segment
+from lexloom.streaming.memory import fold
+from pyspark.sql import functions as F
+
+
+def test_bigram_model(spark):
+    docs = spark.createDataFrame([(1, "a b. a b. a c"), (2, "a b"), (3, None)], "doc_id long, text string")
+    bi = ngram.bigrams(ngram.padded(docs))
+    got = {(r.v, r.w): r.c for r in bi.collect()}
+    assert got == {("<s>", "a"): 4, ("a", "b"): 3, ("a", "c"): 1, ("b", "</s>"): 3, ("c", "</s>"): 1}
+    kept = {(r.v, r.w): r for r in ngram.pruned(bi).collect()}
+    assert set(kept) == {("<s>", "a"), ("a", "b"), ("b", "</s>")}
+    assert kept["a", "b"].total == 4 and kept["a", "b"].back == 1 - 2.25 / 4
+    p = {(r.v, r.w): r.p for r in ngram.lookup(spark.createDataFrame([("a", "c"), ("zz", "b")], "v string, w string"), ngram.pruned(bi), ngram.unigram(bi)).collect()}
+    assert p["zz", "b"] == pytest.approx(3 / 12) and p["a", "c"] == pytest.approx(kept["a", "b"].back * 1 / 12)
+
+
+def test_weighted_rounds_half_even(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 3)], "w string, c long")
+    assert {r.w: r.c for r in ngram.weighted((a, 0.5)).collect()} == {"y": 2}
+
+
+def test_statistics():
+    assert evalstats.mcnemar(6, 0) == 0.03125 and evalstats.mcnemar(9, 1) == 0.021484375
+    assert evalstats.mcnemar(0, 0) == evalstats.mcnemar(3, 3) == 1
+    for k, v in ((0, 2.9957), (1, 4.7439), (2, 6.2958), (5, 10.5130)):
+        assert evalstats.poisson_upper(k) == pytest.approx(v, abs=1e-3)
+
+
+def test_segmentation():
+    scores = {"ab": -1.0, "a": -1.0, "b": -1.0, "c": -0.5}
+    assert segment.best_path("abc", scores, 2) == ["ab", "c"]
+    assert segment.best_path("abx", scores, 2) is None
+    e = segment.expected("ab", scores, 2)
+    assert e["ab"] == pytest.approx(0.1 / 0.11) and e["a"] == pytest.approx(0.01 / 0.11)
+
+
+def test_text_functions(spark):
+    r = spark.range(1).select(
+        T.scrub(F.lit("x https://a.b/c y a@b.co +886 2 1234 5678 z")).alias("s"), T.tail(F.lit("abc台北市")).alias("t"), T.is_subsequence(F.lit("ace"), F.lit("abcde")).alias("y"),
+        T.is_subsequence(F.lit("aec"), F.lit("abcde")).alias("n"), T.log10(F.lit(0.0)).alias("l"), F.size(T.runs(F.lit("a台北b市"), T.HAN)).alias("k"),
+    ).first()
+    assert r.s == "x \n y \n \n z" and r.t == "北市" and r.y and not r.n and r.l == -math.inf and r.k == 2
+
+
+def test_guard_and_graph(spark):
+    texts = spark.createDataFrame([(1, "xx one two three four five yy"), (2, "short here"), (3, None)], "doc_id long, text string")
+    pats = spark.createDataFrame([(7, "ne two three four fi"), (8, "rt he"), (9, "absent")], "item_id long, text string")
+    assert {tuple(r) for r in guard.containment(texts, pats).collect()} == {(1, 7), (2, 8)}
+    edges = spark.createDataFrame([("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
+    assert {r.node: r.root for r in graph.least_labels(edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_memory(spark):
+    log = spark.createDataFrame([("k", 0, 1.0), ("k", 14, 1.0)], "key string, day int, delta double")
+    assert memory.bump(log, ["key"], F.lit(14)).first().weight == pytest.approx(1.5)
+    assert fold({}, [(0, "a", None, 1.0), (14, "b", "a", 1.0)]) == {"a": (0.25, 14), "b": (1.0, 14)}
+
+
+def test_entry(spark):
+    q, s = entry.queries(), entry.oracle_sql()
+    assert set(s) <= set(q)
+    assert "slice_bigram_top3" in q
