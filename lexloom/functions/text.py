@@ -36,7 +36,7 @@ def scrub(text: Column) -> Column:
 
 def sentences(text: Column, profile: TextProfile = LATIN) -> Column:
     """Trimmed, non-empty sentences."""
-    return F.filter(F.transform(F.split(text, profile.end), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, profile.end), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def units(text: Column, profile: TextProfile = LATIN) -> Column:

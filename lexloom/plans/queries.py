@@ -272,7 +272,7 @@ OWN_SQL = {
     "char_trigrams": f"WITH w AS (SELECT '^^' || unnest({_U.format(x='text')}) || '$' AS e FROM documents) SELECT g, count(*) AS c FROM (SELECT e[i:i + 2] AS g FROM (SELECT e, unnest(range(1, length(e) - 1)) AS i FROM w)) GROUP BY g",
     "recurrence_pairs": "SELECT item_id, count(DISTINCT text[i:i + 1]) AS n FROM (SELECT item_id, text, unnest(range(1, length(text))) AS i FROM benchmark) GROUP BY item_id",
     "mcnemar_exact": "WITH g AS (SELECT source, count_if(quality = 0 AND toxic = 1) AS fixed, count_if(quality = 1 AND toxic = 0) AS broken FROM labels JOIN documents USING (doc_id) GROUP BY source), t AS (SELECT source, sum(exp(lgamma(fixed + broken + 1) - lgamma(i + 1) - lgamma(fixed + broken - i + 1) - (fixed + broken) * ln(2))) AS tail FROM (SELECT source, fixed, broken, unnest(range(0, least(fixed, broken)::BIGINT + 1)) AS i FROM g) GROUP BY source) SELECT source, fixed::BIGINT AS fixed, broken::BIGINT AS broken, round(least(1.0, 2 * tail), 8) AS p FROM g JOIN t USING (source)",
-    "int8_rows": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), s AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) / 127 AS scale FROM e), q AS (SELECT vec_id, scale, unnest(list_transform(x, lambda v: (sign(v) * round_even(abs(v) / scale, 0))::BIGINT)) AS q FROM s) SELECT vec_id, round(any_value(scale), 8) AS scale, sum(q)::BIGINT AS total, sum(abs(q))::BIGINT AS size FROM q GROUP BY vec_id",
+    "int8_rows": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), s AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) / 127 AS scale FROM e), q AS (SELECT vec_id, scale, unnest(list_transform(x, lambda v: (floor(v / scale) + CASE WHEN v / scale - floor(v / scale) > 0.5 OR (v / scale - floor(v / scale) = 0.5 AND floor(v / scale)::BIGINT % 2 <> 0) THEN 1 ELSE 0 END)::BIGINT)) AS q FROM s) SELECT vec_id, round(any_value(scale), 8) AS scale, sum(q)::BIGINT AS total, sum(abs(q))::BIGINT AS size FROM q GROUP BY vec_id",
     "content_hash": "SELECT sha256(string_agg(text, chr(10) ORDER BY item_id)) AS sha FROM benchmark",
     "spelling_classes": "WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS a, p_type AS b FROM part WHERE p_size = 50), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node",
     "decayed_records": "WITH e AS (SELECT user_id, event_type, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM events), t AS (SELECT max(day) AS today FROM e), r AS (SELECT event_type, user_id, round(sum(power(0.5, (today - day) / 14.0)), 6) AS weight FROM e, t GROUP BY 1, 2) SELECT event_type, user_id, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY weight DESC, user_id) AS rank FROM r WHERE weight >= 0.05) WHERE rank <= 20",
