@@ -97,12 +97,12 @@ def _blocks(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cells[at] if len(cells) else cells, np.concatenate((at, [len(cells)])).astype(np.int64)
 
 
-def _by_document(o: np.ndarray, keys: np.ndarray, hot: np.ndarray, nb: int) -> Iterator[tuple]:
+def _by_document(o: np.ndarray, keys: np.ndarray, nb: int) -> Iterator[tuple]:
     order = np.argsort(o, kind="stable")
-    o, keys, hot = o[order], keys[order], hot[order]
+    o, keys = o[order], keys[order]
     values, at = _blocks(o)
     for v, lo, hi in zip(values.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield -1 - int(v) % nb, v, keys[lo:hi].tobytes(), hot[lo:hi].tobytes()
+        yield -1 - int(v) % nb, v, keys[lo:hi].tobytes(), None
 
 
 KEYS = "b int, o long, keys binary, extra binary"
@@ -129,7 +129,7 @@ def _offer(nb: int):
             values, at = _blocks(keys)
             least = np.minimum.reduceat(o, at[:-1])
             many = np.repeat(np.diff(at) > 1, np.diff(at))
-            rows = list(_by_document(o[many], keys[many], np.zeros(int(many.sum()), np.uint8), nb))
+            rows = list(_by_document(o[many], keys[many], nb))
             cells, cut = _blocks((values >> np.uint64(32)).astype(np.int32))
             low = values.astype(np.uint32)
             rows += [(c, p[0], low[x:y].tobytes(), p[1]) for c, x, y in zip(cells.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True) for p in [_pack(least[x:y])]]
@@ -138,13 +138,22 @@ def _offer(nb: int):
     return run
 
 
-def _share(nb: int, hot: int):
-    """Keys of a bucket offered by more than one batch, by document."""
+SHARED = "o long, k long, hot boolean"
+
+
+def _share(hot: int):
+    """A row for each document and key that is shared: those told by their batch, and a bucket's keys offered by more than one batch."""
+
+    def table_(o: np.ndarray, keys: np.ndarray, often: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(o, pa.int64()), pa.array(keys.view(np.int64)), pa.array(often)], ["o", "k", "hot"])
 
     def run(t: pa.Table) -> pa.Table:
-        if t.num_rows == 0 or t.column("b")[0].as_py() < 0:
-            return t
+        if t.num_rows == 0:
+            return table_(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
         b, data = t.column("b")[0].as_py(), t.column("keys").to_pylist()
+        if b < 0:
+            n = [len(x) // 8 for x in data]
+            return table_(np.repeat(np.array(t.column("o").to_pylist(), np.int64), n), np.frombuffer(b"".join(data), np.uint64), np.zeros(sum(n), bool))
         keys = np.frombuffer(b"".join(data), np.uint32)
         o = np.concatenate([_unpack(low, len(x) // 4, y) for low, x, y in zip(t.column("o").to_pylist(), data, t.column("extra").to_pylist(), strict=True)])
         order = np.argsort(keys, kind="stable")
@@ -152,7 +161,7 @@ def _share(nb: int, hot: int):
         _, at = _blocks(keys)
         n = np.repeat(np.diff(at), np.diff(at))
         many = n > 1
-        return pa.Table.from_batches([_key_batch(list(_by_document(o[many], keys[many].astype(np.uint64) | np.uint64(b << 32), (n[many] > hot).astype(np.uint8), nb)))])
+        return table_(o[many], keys[many].astype(np.uint64) | np.uint64(b << 32), n[many] > hot)
 
     return run
 
@@ -199,12 +208,12 @@ def _cut(nb: int):
                 t = t or b""
                 own, twice = window_keys(t)
                 lo, hi = runs(own, twice)
-                shared = np.frombuffer(b"".join(ks), np.uint64)
+                shared = np.array(ks, np.int64).view(np.uint64)
                 ids = _ids(own[lo], nb)
                 has = np.isin(ids, shared)
                 lo, hi = lo[has], hi[has]
                 k = own[lo]
-                hot = np.isin(ids[has], shared[np.frombuffer(b"".join(hs), np.uint8) > 0]) | twice[lo]
+                hot = np.isin(ids[has], shared[np.array(hs, bool)]) | twice[lo]
                 for key, s, e in zip(k[~hot].view(np.int64).tolist(), lo[~hot].tolist(), hi[~hot].tolist(), strict=True):
                     meet(key, t[s : e + MIN_LEN], o, h, [s])
                 if hot.any():
@@ -357,7 +366,7 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) ->
     copies = same.join(first, "m").where("o > first").groupBy("o").agg(F.collect_set("h").alias("copies"))
     reps = d.join(copies, "o", "left").where("copies IS NULL OR NOT array_contains(copies, h)").select("doc_id", "o", "h", "text")
     offered = reps.mapInArrow(_offer(nb), KEYS)
-    shared = offered.groupBy("b").applyInArrow(_share(nb, hot), KEYS).groupBy("o").agg(F.collect_list("keys").alias("keys"), F.collect_list("extra").alias("extra"))
+    shared = offered.groupBy("b").applyInArrow(_share(hot), SHARED).groupBy("o").agg(F.collect_list("k").alias("keys"), F.collect_list("hot").alias("extra"))
     cut = reps.join(shared, "o").select("doc_id", "o", "h", "text", "keys", "extra").mapInArrow(_cut(nb), CONTEXTS)
     spans = cut.groupBy("b").applyInArrow(_settle(nb), CONTEXTS).groupBy("o").agg(F.collect_list(F.struct("h", "spans")).alias("found"))
     whole = d.join(copies, "o", "left").join(spans, "o", "left")
