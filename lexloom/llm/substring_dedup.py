@@ -9,8 +9,8 @@ document only are discarded (a bucket of keys at a time).  3. Documents cut the
 contexts; a batch settles at once all but its first document with a context.  4. A bucket builds the enhanced suffix
 array (suffix order and common-prefix lengths) over the distinct contexts of each key, scans it with a stack into the
 tree of common-prefix intervals, and keeps the intervals whose left extensions differ: maximal repeats with all their
-occurrences.  Every occurrence of a repeat in a document after the repeat's first document is a removed span.  5. Spans are merged
-by document.
+occurrences.  Every occurrence of a repeat in a document after the repeat's first document is a removed span.  5. Buckets pack their
+spans by slices of the documents, and a slice gathers and merges the spans of each document.
 
 Bounds: buckets follow the size of the input; a key adds one row a batch to its bucket; a key found in more than
 ``HOT`` batches is dealt by its distinct windows instead, and so is periodic text.  Nothing is dropped or capped.
@@ -36,6 +36,8 @@ from .textvec import gram_hash, mix, sliding_min
 MIN_LEN, GRAM = 50, 18
 #: Input bytes that a bucket stands for.
 BUCKET_BYTES = 8 << 20
+#: Input bytes of the documents whose spans are gathered at once.
+SLICE_BYTES = 64 << 20
 HOT = 200
 #: Bytes of contexts in one suffix array; a key's contexts stay together.
 SCAN_BYTES = 1 << 19
@@ -175,11 +177,34 @@ def _ctx_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CTX_TYPES, strict=True)], ["b", "k", "ctx", "o", "h", "s", "spans"])
 
 
-def _settled(spans: dict, nb: int) -> list[tuple]:
-    return [(-1 - o % nb, None, None, o, h, None, merged(np.array(x, np.int32)).astype(np.int32).tobytes()) for (o, h), x in spans.items()]
+def _packed(spans: dict, slices: int) -> list[tuple]:
+    """Settled spans of many documents, a row for each slice of the documents (b < 0)."""
+    parts: dict[int, list] = {}
+    for (o, h), x in spans.items():
+        parts.setdefault(o % slices, []).append((o, h, merged(np.array(x, np.int32))))
+    rows = []
+    for c, docs in parts.items():
+        head = np.array([(o, h, len(x)) for o, h, x in docs], np.int64)
+        rows.append((-1 - c, None, None, None, None, head.tobytes(), np.concatenate([x for *_, x in docs]).astype(np.int32).tobytes()))
+    return rows
 
 
-def _cut(nb: int):
+GATHERED = "o long, hs array<bigint>, ss array<binary>"
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """Spans of a slice of the documents, one row a document."""
+    spans: dict[int, dict[int, list[bytes]]] = {}
+    for head, data in zip(t.column("s").to_pylist(), t.column("spans").to_pylist(), strict=True):
+        at = 0
+        for o, h, n in np.frombuffer(head, np.int64).reshape(-1, 3).tolist():
+            spans.setdefault(o, {}).setdefault(h, []).append(data[at : at + 8 * n])
+            at += 8 * n
+    hs, ss = [list(x) for x in spans.values()], [[b"".join(y) for y in x.values()] for x in spans.values()]
+    return pa.table([pa.array(list(spans), pa.int64()), pa.array(hs, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.binary()))], ["o", "hs", "ss"])
+
+
+def _cut(nb: int, slices: int):
     """Contexts of a batch: each with its first document to the bucket, all later ones settled here (b < 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +251,7 @@ def _cut(nb: int):
                         meet(key, t[p : p + MIN_LEN], o, h, at[x:y].tolist())
             rows = [(k, ctx, o, h, np.array(s, np.int32).tobytes()) for k, ctx, o, h, s in [(*x, *v) for x, v in first.items()] + again]
             cells = _slices(mix(np.array([r[0] for r in rows], np.int64).view(np.uint64)), nb).tolist() if rows else []
-            yield _ctx_batch([(c, *r, None) for c, r in zip(cells, rows, strict=True)] + _settled(spans, nb))
+            yield _ctx_batch([(c, *r, None) for c, r in zip(cells, rows, strict=True)] + _packed(spans, slices))
 
     return run
 
@@ -284,7 +309,7 @@ def maximal_repeats(contexts: list[bytes], groups: np.ndarray) -> Iterator[tuple
                 stack.append([d, start, same])
 
 
-def _settle(nb: int):
+def _settle(slices: int):
     """Spans of a bucket: whole contexts after their first document, and repeats between different contexts."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -327,7 +352,7 @@ def _settle(nb: int):
                 if total > SCAN_BYTES:
                     scan()
         scan()
-        return pa.Table.from_batches([_ctx_batch(_settled(spans, nb))])
+        return pa.Table.from_batches([_ctx_batch(_packed(spans, slices))])
 
     return run
 
@@ -335,12 +360,12 @@ def _settle(nb: int):
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[], [], [], [], []]
-        for h, t, copy, found in zip(b.column(2).to_pylist(), text_bytes(b.column(3)), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+        for h, t, copy, hs, ss in zip(b.column(2).to_pylist(), text_bytes(b.column(3)), *(b.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
             t = t or b""
             if copy and len(t) >= MIN_LEN:
                 at = np.array([[0, len(t)]], np.int64)
             else:
-                at = merged(np.frombuffer(b"".join(x["spans"] for x in found or [] if x["h"] == h), np.int32).reshape(-1, 2).astype(np.int64))
+                at = merged(np.frombuffer(b"".join(x for y, x in zip(hs or [], ss or [], strict=True) if y == h), np.int32).reshape(-1, 2).astype(np.int64))
             rest, end = [], 0
             for s, e in at.tolist():
                 rest.append(t[end:s])
@@ -361,17 +386,18 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) ->
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ordered_id().alias("o"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     nb = max(shuffle_parts(spark), total // bucket_bytes)
+    slices = max(shuffle_parts(spark), total // SLICE_BYTES)
     same = d.select("o", "h", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
     first = same.groupBy("m").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("m", "first")
     copies = same.join(first, "m").where("o > first").groupBy("o").agg(F.collect_set("h").alias("copies"))
     reps = d.join(copies, "o", "left").where("copies IS NULL OR NOT array_contains(copies, h)").select("doc_id", "o", "h", "text")
     offered = reps.mapInArrow(_offer(nb), KEYS)
     shared = offered.groupBy("b").applyInArrow(_share(hot), SHARED).groupBy("o").agg(F.collect_list("k").alias("keys"), F.collect_list("hot").alias("extra"))
-    cut = reps.join(shared, "o").select("doc_id", "o", "h", "text", "keys", "extra").mapInArrow(_cut(nb), CONTEXTS)
-    spans = cut.groupBy("b").applyInArrow(_settle(nb), CONTEXTS).groupBy("o").agg(F.collect_list(F.struct("h", "spans")).alias("found"))
+    cut = reps.join(shared, "o").select("doc_id", "o", "h", "text", "keys", "extra").mapInArrow(_cut(nb, slices), CONTEXTS)
+    spans = cut.groupBy("b").applyInArrow(_settle(slices), CONTEXTS).groupBy("b").applyInArrow(_gather, GATHERED)
     whole = d.join(copies, "o", "left").join(spans, "o", "left")
     copy = F.coalesce(F.array_contains("copies", F.col("h")), F.lit(False)).alias("copy")
-    return whole.select("doc_id", "o", "h", "text", copy, "found").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
+    return whole.select("doc_id", "o", "h", "text", copy, "hs", "ss").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
