@@ -6,9 +6,9 @@ of ``ROWS`` minima are tuned for recall: a pair of similarity 0.8 meets in a ban
 of their shingles (``SIMILARITY`` or more), linked paragraphs form components, and all but the first paragraph of a
 component, in the order of doc_id and line, are removed.
 
-A band never lists all pairs of a large group: up to ``BLOCK`` members meet each other; beyond, each member meets its
-block of BLOCK in the order of length and the ``HUBS`` most frequent texts of the group.  Components join the rest, and
-every member has ten bands.
+A band never lists all pairs of a large group.  Up to ``BLOCK`` texts meet each other.  Larger bands are compared in
+rounds: hubs of the band with its members in other components, until every two texts of the band are compared or joined
+already, so no link between components is missed.
 
 Edge cases: null and empty texts have no paragraph; lines under MIN_WORDS words are never removed; null ids come after
 all others; rows with the same doc_id and text count as one document; an empty table gives an empty result; other
@@ -29,7 +29,7 @@ from .textvec import lower, mix, prefix, span_hash, word_spans
 
 MIN_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
 BANDS, ROWS = 10, 3
-BLOCK, HUBS = 16, 6
+BLOCK, HUBS = 16, 4
 _MULT = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))[None, :]
 
 
@@ -80,11 +80,16 @@ def distinct(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bincount(w[new], minlength=len(at) - 1)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+
+
 def _rows(min_words: int, banded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in _few(batches):
             owner, line, dig, size, keys = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, t in enumerate(text_bytes(b.column(2))):
                 at, normal, s, cut = paragraphs(t or b"", min_words, banded)
@@ -109,52 +114,97 @@ def _rows(min_words: int, banded: bool):
 ROW = "o long, h long, line int, dig binary, size int, bands array<bigint>"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify from a stream sorted by band key: rows of id, size and number of copies."""
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From band rows sorted by key: the pairs of bands of up to BLOCK texts, and the members of larger bands (``large``)."""
 
-    def pairs(members: list[tuple]) -> set[tuple]:
-        members.sort(key=lambda m: (m[1], m[0]))
-        out = set()
-        for lo in range(0, len(members), BLOCK):
-            block = members[lo : lo + BLOCK]
-            out |= {(x, y) for k, x in enumerate(block) for y in block[k + 1 :]}
-        if len(members) > BLOCK:
-            for hub in sorted(members, key=lambda m: (-m[2], m[0]))[:HUBS]:
-                out |= {(hub, m) for m in members if m != hub}
-        return {(min(x[0], y[0]), max(x[0], y[0])) for x, y in out if 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1])}
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*([np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)], *out), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["k", "a", "b", "size", "n", "large"])
 
-    def batch(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def settle(k: int, m: np.ndarray, large: bool) -> tuple:
+        if large:
+            same = np.full(m.shape[1], k, np.int64)
+            return same, m[0], same, m[1], m[2], np.ones(len(same), bool)
+        i, j = np.triu_indices(m.shape[1], 1)
+        near = 5 * np.minimum(m[1, i], m[1, j]) >= 4 * np.maximum(m[1, i], m[1, j])
+        x, y = m[0, i[near]], m[0, j[near]]
+        none = np.zeros(len(x), np.int64)
+        return none, np.minimum(x, y), np.maximum(x, y), none, none, np.zeros(len(x), bool)
 
-    key, held = None, []
+    key, held, large = None, np.zeros((3, 0), np.int64), False
     for b in batches:
-        found: list[tuple] = []
-        for k, *m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if k != key:
-                if len(held) > 1:
-                    found += pairs(held)
-                key, held = k, []
-            held.append(tuple(m))
-            if len(held) >= 64 * BLOCK:  # a very large group is read in pieces; its most frequent texts stay with it
-                found += pairs(held)
-                held = sorted(held, key=lambda m: (-m[2], m[0]))[:HUBS]
-        yield batch(found)
-    if len(held) > 1:
-        yield batch(list(pairs(held)))
+        if not b.num_rows:
+            continue
+        k = b.column(0).to_numpy(zero_copy_only=False)
+        m = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2, 3)])
+        large = large and k[0] == key
+        if held.shape[1]:
+            k, m = np.concatenate((np.full(held.shape[1], key), k)), np.concatenate((held, m), axis=1)
+        cut = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+        size = np.diff(cut)
+        out = []
+        for g in np.flatnonzero((size > 1) | (np.arange(len(size)) == 0))[: None if len(size) > 1 else 0]:
+            if g < len(size) - 1 and (size[g] > 1 or large and g == 0):
+                out.append(settle(int(k[cut[g]]), m[:, cut[g] : cut[g + 1]], size[g] > BLOCK or large and g == 0))
+        large = bool(large and len(size) == 1) or bool(size[-1] > BLOCK)
+        key, held = int(k[-1]), m[:, cut[-2] :]
+        if large:  # a large band streams through
+            out.append(settle(key, held, True))
+            held = held[:, :0]
+        yield batch(out)
+    if held.shape[1] > 1:
+        yield batch([settle(key, held, large)])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted lines of a document."""
-    for b in batches:
-        digs, sets = [], []
+    for b in _few(batches):
+        digs, sets = [], [np.zeros(0, np.uint64)]
         for t, want in zip(text_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
             lines = {x["line"]: x["dig"] for x in want}
             at, _, s, cut = paragraphs(t or b"", 1)
             for k, line in enumerate(at):
                 if line in lines:
                     digs.append(lines[line])
-                    sets.append(np.unique(s[cut[k] : cut[k + 1]]).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(digs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["dig", "s"])
+                    sets.append(np.unique(s[cut[k] : cut[k + 1]]))
+        ends = np.cumsum([len(x) for x in sets]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(digs, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["dig", "s"])
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, da, db): the pairs whose shingle sets are similar, as short names and digests."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("dig").alias("da"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("dig").alias("db"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return checkpoint(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b", "da", "db"))
+
+
+def _rounds(large: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links needed for the components of large bands.
+
+    A round compares hubs of each band with its members in other components and marks the hubs as done; a band is
+    complete when its members that are not done lie in one component, for then every pair of its texts is compared or
+    joined.  The number of hubs grows fourfold a round.
+    """
+    near, step = F.expr("5 * least(size, hub.size) >= 4 * greatest(size, hub.size)"), 0
+    large = large.withColumn("done", F.lit(False))
+    while True:
+        comp = checkpoint(components(links.select("a", "b")))
+        mass = comp.groupBy("root").agg(F.count("*").alias("mass")).withColumnRenamed("root", "c")
+        live = large.join(comp, F.col("id") == F.col("node"), "left").select("k", "id", "size", "n", "done", F.coalesce("root", "id").alias("c"))
+        todo = live.where("NOT done").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
+        live = checkpoint(live.join(todo, "k", "left_semi"))
+        if live.isEmpty():
+            return links
+        first = F.col("n") if step == 0 else -F.coalesce("mass", F.lit(0))
+        slot = F.pmod(F.xxhash64("id"), F.lit(HUBS << 2 * step)).alias("slot")
+        hubs = checkpoint(live.where("NOT done").join(mass, "c", "left").groupBy("k", slot).agg(F.max(F.struct(first.cast("long").alias("first"), "id", "size", "c")).alias("hub")).select("k", "hub"))
+        found = live.join(hubs, "k").where(F.expr("id <> hub.id AND c <> hub.c")).where(near).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        found = checkpoint(found.join(pairs, ["a", "b"], "left_anti"))
+        links = links.unionByName(_verify(found, sets, similarity))
+        pairs = pairs.unionByName(found)
+        said = hubs.select("k", F.col("hub.id").alias("id"), F.lit(True).alias("hub"))
+        large = checkpoint(live.join(said, ["k", "id"], "left").select("k", "id", "size", "n", (F.col("done") | F.col("hub").isNotNull()).alias("done")))
+        step += 1
 
 
 def clusters(d: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -165,15 +215,15 @@ def clusters(d: DataFrame, min_words: int, similarity: float) -> DataFrame:
     # a band row names its text by 64 bits of the digest: a chance match adds a pair to verify, no more
     short = F.xxhash64("dig").alias("id")
     b = reps.select(F.explode("bands").alias("k"), short, "size", F.least("n", F.lit(1 << 30)).cast("int").alias("n"))
-    pairs = checkpoint(b.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs, "a long, b long").distinct())
-    want = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("dig", "first", short), "id")
+    met = checkpoint(b.repartition("k").sortWithinPartitions("k").mapInArrow(_meet, "k long, a long, b long, size long, n long, large boolean"))
+    pairs = checkpoint(met.where("NOT large").select("a", "b").distinct())
+    large = met.where("large").select("k", F.col("a").alias("id"), "size", "n")
+    want = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct().join(reps.select("dig", "first", short), "id")
     want = want.groupBy(F.col("first.o").alias("o"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "dig")).alias("want"))
     sets = d.select("o", "h", "text").dropDuplicates(["o", "h"]).join(want, ["o", "h"]).select("text", "want").mapInArrow(_sets, "dig binary, s array<bigint>")
     sets = checkpoint(sets).withColumn("id", short)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("dig").alias("da"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("dig").alias("db"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("da").alias("a"), F.col("db").alias("b"))
-    comp = components(links)
+    links = _rounds(large, pairs, _verify(pairs, sets, similarity), sets, similarity)
+    comp = components(links.select(F.col("da").alias("a"), F.col("db").alias("b")))
     joined = reps.join(comp, reps["dig"] == comp["node"], "left").select("dig", "first", "last", F.coalesce("root", "dig").alias("root"))
     keep = joined.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last")
     return joined.join(keep.select("root", "keep"), "root").select("dig", "keep")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -130,3 +131,24 @@ def test_rules(docs, none):
     assert rows[3].base_failed and rows[1].kept and rows[1].n_words == 64
     assert {r["rule"] for r in quality_rules.ablation(ledger).collect()} == set(quality_rules.POLICIES["v2"])
     assert quality_rules.ledger(none).count() == 0
+
+
+def test_paragraphs_in_large_bands(spark):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(150):  # near copies of near copies: many links are between texts far from the most frequent one
+        w = list(texts[rng.randrange(len(texts))] if texts and k % 3 else base)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        texts.append(w)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(56)} for w in texts]
+    root = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    rows = by(paragraph_dedup.dedup(docs).collect())
+    assert {k: rows[k].removed[0].doc_id if rows[k].removed else k for k in rows} == dict(enumerate(root))
