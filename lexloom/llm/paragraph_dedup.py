@@ -29,7 +29,7 @@ from .textvec import lower, mix, prefix, span_hash, word_spans
 
 MIN_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
 BANDS, ROWS = 10, 3
-BLOCK, HUBS = 16, 4
+BLOCK, HUBS, HUB_BLOCK = 16, 4, 32
 _MULT = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))[None, :]
 
 
@@ -178,32 +178,35 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return checkpoint(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b", "da", "db"))
 
 
-def _rounds(large: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _rounds(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All links needed for the components of large bands.
 
     A round compares hubs of each band with its members in other components and marks the hubs as done; a band is
     complete when its members that are not done lie in one component, for then every pair of its texts is compared or
-    joined.  The number of hubs grows fourfold a round.
+    joined.  The number of hubs grows fourfold a round.  Members meet hubs in blocks of HUB_BLOCK with their sets, so
+    that only links leave the row.
     """
-    near, step = F.expr("5 * least(size, hub.size) >= 4 * greatest(size, hub.size)"), 0
-    large = large.withColumn("done", F.lit(False))
+    step, done = 0, large.withColumn("done", F.lit(False))
+    like = "h.id <> id AND h.c <> c AND 5 * least(size, h.size) >= 4 * greatest(size, h.size)"
+    like += f" AND size(array_intersect(h.s, s)) * {1 + similarity}D >= {similarity}D * (size(s) + size(h.s)) - 1e-9D"
     while True:
         comp = checkpoint(components(links.select("a", "b")))
-        mass = comp.groupBy("root").agg(F.count("*").alias("mass")).withColumnRenamed("root", "c")
-        live = large.join(comp, F.col("id") == F.col("node"), "left").select("k", "id", "size", "n", "done", F.coalesce("root", "id").alias("c"))
+        live = done.join(comp, F.col("id") == F.col("node"), "left").select("k", "id", "size", "n", "done", F.coalesce("root", "id").alias("c"))
         todo = live.where("NOT done").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
         live = checkpoint(live.join(todo, "k", "left_semi"))
         if live.isEmpty():
             return links
+        mass = comp.groupBy("root").agg(F.count("*").alias("mass")).withColumnRenamed("root", "c")
         first = F.col("n") if step == 0 else -F.coalesce("mass", F.lit(0))
         slot = F.pmod(F.xxhash64("id"), F.lit(HUBS << 2 * step)).alias("slot")
-        hubs = checkpoint(live.where("NOT done").join(mass, "c", "left").groupBy("k", slot).agg(F.max(F.struct(first.cast("long").alias("first"), "id", "size", "c")).alias("hub")).select("k", "hub"))
-        found = live.join(hubs, "k").where(F.expr("id <> hub.id AND c <> hub.c")).where(near).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        found = checkpoint(found.join(pairs, ["a", "b"], "left_anti"))
-        links = links.unionByName(_verify(found, sets, similarity))
-        pairs = pairs.unionByName(found)
-        said = hubs.select("k", F.col("hub.id").alias("id"), F.lit(True).alias("hub"))
-        large = checkpoint(live.join(said, ["k", "id"], "left").select("k", "id", "size", "n", (F.col("done") | F.col("hub").isNotNull()).alias("done")))
+        hubs = live.where("NOT done").join(mass, "c", "left").groupBy("k", slot).agg(F.max(F.struct(first.cast("long").alias("first"), "id", "size", "c")).alias("hub"))
+        hubs = checkpoint(hubs.select("k", F.floor(F.col("slot") / HUB_BLOCK).alias("block"), "hub.id", "hub.size", "hub.c"))
+        blocks = hubs.join(sets, "id").groupBy("k", "block").agg(F.collect_list(F.struct("id", "size", "c", "dig", "s")).alias("hubs"))
+        met = live.select("k", "id", "size", "c").join(sets, "id").join(blocks, "k")
+        met = met.select("id", "dig", F.explode(F.expr(f"transform(filter(hubs, h -> {like}), h -> struct(h.id, h.dig))")).alias("h"))
+        links = links.unionByName(checkpoint(met.select(F.col("id").alias("a"), F.col("h.id").alias("b"), F.col("dig").alias("da"), F.col("h.dig").alias("db"))))
+        said = hubs.select("k", "id", F.lit(True).alias("hub"))
+        done = checkpoint(live.join(said, ["k", "id"], "left").select("k", "id", "size", "n", (F.col("done") | F.col("hub").isNotNull()).alias("done")))
         step += 1
 
 
@@ -222,7 +225,7 @@ def clusters(d: DataFrame, min_words: int, similarity: float) -> DataFrame:
     want = want.groupBy(F.col("first.o").alias("o"), F.col("first.h").alias("h")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "dig")).alias("want"))
     sets = d.select("o", "h", "text").dropDuplicates(["o", "h"]).join(want, ["o", "h"]).select("text", "want").mapInArrow(_sets, "dig binary, s array<bigint>")
     sets = checkpoint(sets).withColumn("id", short)
-    links = _rounds(large, pairs, _verify(pairs, sets, similarity), sets, similarity)
+    links = _rounds(large, _verify(pairs, sets, similarity), sets, similarity)
     comp = components(links.select(F.col("da").alias("a"), F.col("db").alias("b")))
     joined = reps.join(comp, reps["dig"] == comp["node"], "left").select("dig", "first", "last", F.coalesce("root", "dig").alias("root"))
     keep = joined.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep < last")
