@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, ordered_id, table, text_bytes
+from .common import checkpoint, components, ordered_id, shuffle_parts, table, text_bytes
 from .textvec import lower, mix, prefix, span_hash, word_spans
 
 MIN_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
 BANDS, ROWS = 10, 3
-BLOCK, HUBS, HUB_BLOCK = 16, 4, 32
+BLOCK, HUBS, HUB_BLOCK, HUB_BYTES = 16, 4, 32, 16 << 20
 _MULT = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1))[None, :]
 
 
@@ -184,8 +184,9 @@ def _rounds(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: flo
     A round compares hubs of each band with its members in other components and marks the hubs as done; a band is
     complete when its members that are not done lie in one component, for then every pair of its texts is compared or
     joined.  The number of hubs grows fourfold a round.  Members meet hubs in blocks of HUB_BLOCK with their sets, so
-    that only links leave the row.
+    that only links leave the row.  Blocks of hubs are broadcast while their sets hold HUB_BYTES or less, by count.
     """
+    parts = max(shuffle_parts(large.sparkSession), large.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
     step, done = 0, large.withColumn("done", F.lit(False))
     like = "h.id <> id AND h.c <> c AND 5 * least(size, h.size) >= 4 * greatest(size, h.size)"
     like += f" AND size(array_intersect(h.s, s)) * {1 + similarity}D >= {similarity}D * (size(s) + size(h.s)) - 1e-9D"
@@ -202,8 +203,11 @@ def _rounds(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: flo
         hubs = live.where("NOT done").join(mass, "c", "left").groupBy("k", slot).agg(F.max(F.struct(first.cast("long").alias("first"), "id", "size", "c")).alias("hub"))
         hubs = checkpoint(hubs.select("k", F.floor(F.col("slot") / HUB_BLOCK).alias("block"), "hub.id", "hub.size", "hub.c"))
         blocks = hubs.join(sets, "id").groupBy("k", "block").agg(F.collect_list(F.struct("id", "size", "c", "dig", "s")).alias("hubs"))
-        met = live.select("k", "id", "size", "c").join(sets, "id").join(blocks, "k")
-        met = met.select("id", "dig", F.explode(F.expr(f"transform(filter(hubs, h -> {like}), h -> struct(h.id, h.dig))")).alias("h"))
+        weight = hubs.agg(F.coalesce(F.sum(8 * F.col("size") + 64), F.lit(0)).alias("w")).first()["w"]
+        # a member's set is read once for all its bands; only hubs beyond HUB_BYTES make it travel to each band
+        met = live.repartition(parts, "id").groupBy("id", "size", "c").agg(F.collect_list("k").alias("k")).join(sets.repartition(parts, "id"), "id")
+        met = met.select("id", "size", "c", "dig", "s", F.explode("k").alias("k")).join(F.broadcast(blocks) if weight <= HUB_BYTES else blocks, "k")
+        met = met.select("id", "dig", F.explode(F.expr(f"transform(filter(hubs, h -> {like}), h -> struct(h.id, h.dig))")).alias("h")).distinct()
         links = links.unionByName(checkpoint(met.select(F.col("id").alias("a"), F.col("h.id").alias("b"), F.col("dig").alias("da"), F.col("h.dig").alias("db"))))
         said = hubs.select("k", "id", F.lit(True).alias("hub"))
         done = checkpoint(live.join(said, ["k", "id"], "left").select("k", "id", "size", "n", (F.col("done") | F.col("hub").isNotNull()).alias("done")))
