@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words between ASCII white space, as a Java regular expression of what separates them.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of a few numbers that a task can hold with ease, the least worth a partition of their own.
+SHRINK_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,6 +45,14 @@ def signature(df: DataFrame) -> tuple[int, int]:
     return r["n"], r["x"]
 
 
+def shrink(df: DataFrame, rows: int) -> DataFrame:
+    """Merge neighbouring partitions of a small frame, so that the shuffles after it write few files.
+
+    One partition for ``SHRINK_ROWS`` rows, but no fewer than the session's cores; a large frame stays as it is.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SHRINK_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b); root is the smallest node of the component.
 
@@ -53,12 +63,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpoint(e)
     seen = signature(e)
     while seen[0]:
+        e = shrink(e, seen[0])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = shrink(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), seen[0]).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpoint(shrink(small.unionByName(low.select("u", F.col("m").alias("v"))), seen[0]).distinct())
         now = signature(e)
         if now == seen:
             break

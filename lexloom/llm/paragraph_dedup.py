@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, ordered_id, shuffle_parts, table, text_bytes
+from .common import checkpoint, components, ordered_id, shrink, shuffle_parts, table, text_bytes
 from .textvec import lower, mix, prefix, span_hash, word_spans
 
 MIN_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
@@ -187,30 +187,37 @@ def _rounds(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: flo
     that only links leave the row.  Blocks of hubs are broadcast while their sets hold HUB_BYTES or less, by count.
     """
     parts = max(shuffle_parts(large.sparkSession), large.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
-    step, done = 0, large.withColumn("done", F.lit(False))
+    sets = shrink(sets, 8 * sets.count())  # a set weighs more than a row of numbers
+    step, comp, new = 0, None, links
+    done = large.withColumn("done", F.lit(False))
     like = "h.id <> id AND h.c <> c AND 5 * least(size, h.size) >= 4 * greatest(size, h.size)"
     like += f" AND size(array_intersect(h.s, s)) * {1 + similarity}D >= {similarity}D * (size(s) + size(h.s)) - 1e-9D"
     while True:
-        comp = checkpoint(components(links.select("a", "b")))
-        live = done.join(comp, F.col("id") == F.col("node"), "left").select("k", "id", "size", "n", "done", F.coalesce("root", "id").alias("c"))
+        edges = new.select("a", "b")  # components so far are stars, which join the new links
+        comp = checkpoint(components(edges if comp is None else edges.unionByName(comp.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        live = done.join(shrink(comp, comp.count()), F.col("id") == F.col("node"), "left").select("k", "id", "size", "n", "done", F.coalesce("root", "id").alias("c"))
         todo = live.where("NOT done").groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
         live = checkpoint(live.join(todo, "k", "left_semi"))
-        if live.isEmpty():
+        rows = live.count()
+        if not rows:
             return links
+        live = shrink(live, rows)
         mass = comp.groupBy("root").agg(F.count("*").alias("mass")).withColumnRenamed("root", "c")
         first = F.col("n") if step == 0 else -F.coalesce("mass", F.lit(0))
         slot = F.pmod(F.xxhash64("id"), F.lit(HUBS << 2 * step)).alias("slot")
-        hubs = live.where("NOT done").join(mass, "c", "left").groupBy("k", slot).agg(F.max(F.struct(first.cast("long").alias("first"), "id", "size", "c")).alias("hub"))
-        hubs = checkpoint(hubs.select("k", F.floor(F.col("slot") / HUB_BLOCK).alias("block"), "hub.id", "hub.size", "hub.c"))
-        blocks = hubs.join(sets, "id").groupBy("k", "block").agg(F.collect_list(F.struct("id", "size", "c", "dig", "s")).alias("hubs"))
+        hubs = shrink(live.where("NOT done").join(mass, "c", "left"), rows).groupBy("k", slot).agg(F.max(F.struct(first.cast("long").alias("first"), "id", "size", "c")).alias("hub"))
+        hubs = shrink(checkpoint(shrink(hubs.select("k", F.floor(F.col("slot") / HUB_BLOCK).alias("block"), "hub.id", "hub.size", "hub.c"), rows)), rows)
         weight = hubs.agg(F.coalesce(F.sum(8 * F.col("size") + 64), F.lit(0)).alias("w")).first()["w"]
+        blocks = hubs.join(sets, "id")
+        blocks = (shrink(blocks, rows) if weight <= HUB_BYTES else blocks).groupBy("k", "block").agg(F.collect_list(F.struct("id", "size", "c", "dig", "s")).alias("hubs"))
         # a member's set is read once for all its bands; only hubs beyond HUB_BYTES make it travel to each band
         met = live.repartition(parts, "id").groupBy("id", "size", "c").agg(F.collect_list("k").alias("k")).join(sets.repartition(parts, "id"), "id")
         met = met.select("id", "size", "c", "dig", "s", F.explode("k").alias("k")).join(F.broadcast(blocks) if weight <= HUB_BYTES else blocks, "k")
-        met = met.select("id", "dig", F.explode(F.expr(f"transform(filter(hubs, h -> {like}), h -> struct(h.id, h.dig))")).alias("h")).distinct()
-        links = links.unionByName(checkpoint(met.select(F.col("id").alias("a"), F.col("h.id").alias("b"), F.col("dig").alias("da"), F.col("h.dig").alias("db"))))
+        met = met.select("id", "dig", F.explode(F.expr(f"transform(filter(hubs, h -> {like}), h -> struct(h.id, h.dig))")).alias("h"))
+        new = checkpoint(met.select(F.col("id").alias("a"), F.col("h.id").alias("b"), F.col("dig").alias("da"), F.col("h.dig").alias("db")))
+        links = links.unionByName(new)
         said = hubs.select("k", "id", F.lit(True).alias("hub"))
-        done = checkpoint(live.join(said, ["k", "id"], "left").select("k", "id", "size", "n", (F.col("done") | F.col("hub").isNotNull()).alias("done")))
+        done = shrink(checkpoint(shrink(live.join(said, ["k", "id"], "left").select("k", "id", "size", "n", (F.col("done") | F.col("hub").isNotNull()).alias("done")), rows)), rows)
         step += 1
 
 
