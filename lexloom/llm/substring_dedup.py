@@ -13,7 +13,9 @@ occurrences.  Every occurrence of a repeat in a document after the repeat's firs
 spans by slices of the documents, and a slice gathers and merges the spans of each document.
 
 Bounds: buckets follow the size of the input; a key adds one row a batch to its bucket; a key found in more than
-``HOT`` batches is dealt by its distinct windows instead, and so is periodic text.  Nothing is dropped or capped.
+``HOT`` batches is dealt by its distinct windows instead, and so is periodic text.  Whether a key is hot is told to all
+its documents alike, by one of ``CELLS`` cells of keys, so what is broadcast is bounded; a key that shares the cell of a
+hot key is dealt by windows as well, which changes no result.  Nothing is dropped or capped.
 
 Edge cases: null and empty texts have 0 bytes; texts under MIN_LEN bytes lose nothing; null ids come after all others;
 rows with one doc_id never remove from each other, and repeated rows are judged alike; an empty table gives an empty
@@ -39,6 +41,8 @@ BUCKET_BYTES = 8 << 20
 #: Input bytes of the documents whose spans are gathered at once.
 SLICE_BYTES = 64 << 20
 HOT = 200
+#: Cells of keys (a power of 2) that are hot or not as a whole; their numbers are all that is broadcast, 8 MB at most.
+CELLS = 1 << 20
 #: Bytes of contexts in one suffix array; a key's contexts stay together.
 SCAN_BYTES = 1 << 19
 #: Bytes by which suffixes are ordered (a context of one key has 82 at most, but for periodic text); common prefixes count up to here.
@@ -140,30 +144,38 @@ def _offer(nb: int):
     return run
 
 
-SHARED = "o long, k long, hot boolean"
+SHARED = "o long, k long"
 
 
-def _share(hot: int):
+def _share(t: pa.Table) -> pa.Table:
     """A row for each document and key that is shared: those told by their batch, and a bucket's keys offered by more than one batch."""
 
-    def table_(o: np.ndarray, keys: np.ndarray, often: np.ndarray) -> pa.Table:
-        return pa.table([pa.array(o, pa.int64()), pa.array(keys.view(np.int64)), pa.array(often)], ["o", "k", "hot"])
+    def table_(o: np.ndarray, keys: np.ndarray) -> pa.Table:
+        return pa.table([pa.array(o, pa.int64()), pa.array(keys.view(np.int64))], ["o", "k"])
+
+    if t.num_rows == 0:
+        return table_(np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    b, data = t.column("b")[0].as_py(), t.column("keys").to_pylist()
+    if b < 0:
+        return table_(np.repeat(np.array(t.column("o").to_pylist(), np.int64), [len(x) // 8 for x in data]), np.frombuffer(b"".join(data), np.uint64))
+    keys = np.frombuffer(b"".join(data), np.uint32)
+    o = np.concatenate([_unpack(low, len(x) // 4, y) for low, x, y in zip(t.column("o").to_pylist(), data, t.column("extra").to_pylist(), strict=True)])
+    order = np.argsort(keys, kind="stable")
+    keys, o = keys[order], o[order]
+    _, at = _blocks(keys)
+    many = np.repeat(np.diff(at) > 1, np.diff(at))
+    return table_(o[many], keys[many].astype(np.uint64) | np.uint64(b << 32))
+
+
+def _hot_cells(hot: int):
+    """Cells of a bucket's keys that more than hot batches offer."""
 
     def run(t: pa.Table) -> pa.Table:
-        if t.num_rows == 0:
-            return table_(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
-        b, data = t.column("b")[0].as_py(), t.column("keys").to_pylist()
-        if b < 0:
-            n = [len(x) // 8 for x in data]
-            return table_(np.repeat(np.array(t.column("o").to_pylist(), np.int64), n), np.frombuffer(b"".join(data), np.uint64), np.zeros(sum(n), bool))
-        keys = np.frombuffer(b"".join(data), np.uint32)
-        o = np.concatenate([_unpack(low, len(x) // 4, y) for low, x, y in zip(t.column("o").to_pylist(), data, t.column("extra").to_pylist(), strict=True)])
-        order = np.argsort(keys, kind="stable")
-        keys, o = keys[order], o[order]
-        _, at = _blocks(keys)
-        n = np.repeat(np.diff(at), np.diff(at))
-        many = n > 1
-        return table_(o[many], keys[many].astype(np.uint64) | np.uint64(b << 32), n[many] > hot)
+        cells = np.zeros(0, np.int64)
+        if t.num_rows > hot and t.column("b")[0].as_py() >= 0:  # a batch offers a key to its bucket once, in one row
+            keys, n = np.unique(np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32), return_counts=True)
+            cells = np.unique(keys[n > hot].astype(np.int64) & (CELLS - 1))
+        return pa.table([pa.array(cells, pa.int64())], ["cell"])
 
     return run
 
@@ -392,7 +404,9 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) ->
     copies = same.join(first, "m").where("o > first").groupBy("o").agg(F.collect_set("h").alias("copies"))
     reps = d.join(copies, "o", "left").where("copies IS NULL OR NOT array_contains(copies, h)").select("doc_id", "o", "h", "text")
     offered = reps.mapInArrow(_offer(nb), KEYS)
-    shared = offered.groupBy("b").applyInArrow(_share(hot), SHARED).groupBy("o").agg(F.collect_list("k").alias("keys"), F.collect_list("hot").alias("extra"))
+    cells = offered.groupBy("b").applyInArrow(_hot_cells(hot), "cell long").distinct()
+    shared = offered.groupBy("b").applyInArrow(_share, SHARED).withColumn("at", F.col("k").bitwiseAND(CELLS - 1)).join(F.broadcast(cells), F.col("at") == F.col("cell"), "left")
+    shared = shared.groupBy("o").agg(F.collect_list("k").alias("keys"), F.collect_list(F.col("cell").isNotNull()).alias("extra"))
     cut = reps.join(shared, "o").select("doc_id", "o", "h", "text", "keys", "extra").mapInArrow(_cut(nb, slices), CONTEXTS)
     spans = cut.groupBy("b").applyInArrow(_settle(slices), CONTEXTS).groupBy("b").applyInArrow(_gather, GATHERED)
     whole = d.join(copies, "o", "left").join(spans, "o", "left")

@@ -152,3 +152,14 @@ def test_paragraphs_in_large_bands(spark):
                 root = [min(x, y) if r in (x, y) else r for r in root]
     rows = by(paragraph_dedup.dedup(docs).collect())
     assert {k: rows[k].removed[0].doc_id if rows[k].removed else k for k in rows} == dict(enumerate(root))
+
+
+def test_suffix_hot_keys_of_batches(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = [word(90), word(70)]
+    rows = [(k, word(30) + passage[k % 3 % 2] + word(20)) for k in range(60)]
+    rng.shuffle(rows)  # each of several batches holds several documents of a passage, the first one anywhere
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = substring_dedup.dedup(docs, hot=2).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)
