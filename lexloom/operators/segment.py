@@ -1,13 +1,16 @@
-"""Dictionary segmentation as an Arrow UDF over a broadcast lexicon."""
+"""Dictionary segmentation as an Arrow UDF over a broadcast lexicon, or over the words of a text where the lexicon is large."""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a lexicon that is broadcast, with WORD_BYTES a word for the dictionary that holds it.
+LEXICON_BYTES, WORD_BYTES = 16 << 20, 200
+
 
 def best_path(text: str, scores: dict[str, float], longest: int) -> list[str] | None:
     """Segmentation of the greatest score sum; the first found wins ties, shorter words first; None if the text isn't covered."""
@@ -52,3 +55,32 @@ def segmenter(spark: SparkSession, scores: dict[str, float]):
         return text.map(lambda t: best_path(t, *shared.value) if t is not None else None)
 
     return lambda text: run(F.col(text) if isinstance(text, str) else text) if not isinstance(text, Column) else run(text)
+
+
+def segmented(texts: DataFrame, lexicon: DataFrame, lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
+    """texts with words, the best segmentation of the column letters by the words w of count c; null where they don't cover it.
+
+    A lexicon of more than lexicon_bytes is joined to the distinct substrings of each text that are as long as a word.
+    """
+    n = lexicon.agg(
+        F.coalesce(F.sum(F.octet_length("w") + WORD_BYTES), F.lit(0)).alias("bytes"), F.coalesce(F.sum("c"), F.lit(1)).alias("total"), F.sort_array(F.collect_set(F.length("w"))).alias("sizes")
+    ).first()
+    score = lambda c: math.log10(c / n["total"])
+    if n["bytes"] <= lexicon_bytes:
+        return texts.withColumn("words", segmenter(texts.sparkSession, {r["w"]: score(r["c"]) for r in lexicon.select("w", "c").collect()})("letters"))
+    sizes = list(n["sizes"])
+
+    @F.pandas_udf("array<string>")
+    def candidates(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: list({t[k : k + size] for size in sizes for k in range(len(t) - size + 1)}))
+
+    @F.pandas_udf("array<string>")
+    def run(text: pd.Series, words: pd.Series, counts: pd.Series) -> pd.Series:
+        scores = [{w: score(c) for w, c in zip(ws, cs, strict=True)} for ws, cs in zip(words, counts, strict=True)]
+        return pd.Series([best_path(t, s, max(map(len, s), default=0)) for t, s in zip(text, scores, strict=True)])
+
+    letters = texts.select("letters").where("letters IS NOT NULL").distinct()
+    found = letters.select("letters", F.explode(candidates("letters")).alias("w")).join(lexicon.select("w", "c"), "w").groupBy("letters").agg(F.collect_list(F.struct("w", "c")).alias("x"))
+    none = F.array().cast("array<struct<w:string,c:bigint>>")
+    best = letters.join(found, "letters", "left").withColumn("x", F.coalesce("x", none)).select("letters", run("letters", F.col("x.w"), F.col("x.c")).alias("words"))
+    return texts.join(best, "letters", "left")

@@ -212,12 +212,11 @@ def spelling_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best segmentation of the letters of each benchmark text by a lexicon of the 2,000 most frequent words."""
-    w = table(spark, sf_dir, "benchmark").select(F.explode(T.units(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(2000).collect()
-    total = sum(r["c"] for r in w) or 1
-    run = segment.segmenter(spark, {r["w"]: math.log10(r["c"] / total) for r in w})
-    joined = F.array_join(T.units(F.col("text")), "")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(run(joined), " ").alias("words"))
+    """Best segmentation of the letters of each benchmark text by the lexicon of all words of the table."""
+    units = table(spark, sf_dir, "benchmark").select("item_id", T.units(F.col("text")).alias("u"))
+    lexicon = units.select(F.explode("u").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    joined = segment.segmented(units.select("item_id", F.array_join("u", "").alias("letters")), lexicon)
+    return joined.select("item_id", F.array_join("words", " ").alias("words"))
 
 
 def decayed_records(spark: SparkSession, sf_dir: str) -> DataFrame:

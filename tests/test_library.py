@@ -67,3 +67,17 @@ def test_entry(spark):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q)
     assert "slice_bigram_top3" in q
+
+
+def test_segmentation_by_all_words(spark, tmp_path):
+    words = ["x" + "".join(chr(97 + k // 26**p % 26) for p in range(3)) for k in range(2500)]
+    rows = [(k, " ".join(words[50 * k : 50 * k + 50])) for k in range(50)] + [(50, None), (51, "")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    scores = {w: -math.log10(2500) for w in words}
+    want = {k: " ".join(segment.best_path((t or "").replace(" ", ""), scores, 4)) if t is not None else None for k, t in rows}
+    got = {r.item_id: r.words for r in entry.queries()["segmented"](spark, str(tmp_path)).collect()}
+    assert got == want and None not in (got[0], got[49])
+    lexicon = spark.createDataFrame([(w, 1) for w in words], "w string, c long")
+    texts = spark.createDataFrame([(k, t and t.replace(" ", "")) for k, t in [*rows, (52, "zz")]], "item_id long, letters string")
+    joined = {r.item_id: r.words for r in segment.segmented(texts, lexicon, lexicon_bytes=0).collect()}
+    assert joined == {k: None if v is None else v.split() for k, v in want.items()} | {52: None}
