@@ -39,8 +39,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training plan of the documents that are left, sorted by position (op 6)."""
-    return mixing.curriculum(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    """The training plan of the documents that are left, a row for every copy that is taken, sorted by position (op 6)."""
+    return mixing.plan(docs)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near), ("benchmark decontamination", clean), ("mixing", mix)]

@@ -4,7 +4,8 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 ``MAX_EPOCHS`` times its source's size and the excess is shared again by weight (water filling in closed form over
 prefix sums).  Schedule: over training time t in [0, 1] a source is drawn at the rate base * (1 + a * (2t - 1)); its
 integral t + a * (t*t - t) is the source's cumulative demand, which is inverted at each document's cumulative offset
-to give the document's training position.  Documents are then range-sorted by position.
+to give the document's training position, one for every pass over the source (pass k starts k source sizes later).
+``curriculum`` has a row a document, range-sorted by its first position; ``plan`` has a row a taken copy, by its own.
 
 A source's documents follow one another in the order of md5(doc_id).  Prefix sums run on two levels (sums of hash
 slices, then inside a slice), so no task holds a source.  A budget of b words over a source of S gives every document
@@ -51,8 +52,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     return s.select("source", "source_size", "rank", "slope", target.alias("target"))
 
 
-def curriculum(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position), sorted by position (null where nothing is taken)."""
+def _placed(docs: DataFrame, weights, max_epochs: int) -> DataFrame:
     d = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.col("doc_id").cast("string")).alias("h")
     ).withColumn("slice", F.coalesce(F.substring("h", 1, SLICE_DIGITS), F.lit("")))
@@ -70,10 +70,28 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     j = j.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
     j = j.withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_size"))
     j = j.withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("at"))))
-    u, a = F.col("at") / F.col("budget"), F.col("slope")
-    root = (F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / F.nullif(2 * a, F.lit(0.0))
-    j = j.withColumn("position", F.when(F.col("taken") > 0, F.round(F.when(a == 0, u).otherwise(root), 6)))
-    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    a = F.col("slope")
+
+    def position(k: F.Column) -> F.Column:
+        u = (F.col("at") + k * F.col("source_size")) / F.col("budget")
+        root = (F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / F.nullif(2 * a, F.lit(0.0))
+        return F.round(F.when(a == 0, u).otherwise(root), 6)
+
+    last = F.when(F.col("rest") > F.col("at"), F.col("passes")).otherwise(F.col("passes") - 1)
+    j = j.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), position)))
+    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+
+
+def curriculum(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, position, positions), sorted by position, the first of positions (null where nothing is taken)."""
+    return _placed(docs, weights, max_epochs).withColumn("position", F.col("positions")[0]).orderBy("position", "doc_id")
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, pass, words, position), a row for every taken copy and for each document of which nothing is taken, sorted by position."""
+    j = _placed(docs, weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", "taken", F.posexplode_outer("positions").alias("pass", "position"))
+    words = F.when(F.col("pass").isNull(), F.lit(0)).otherwise(F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))).cast("long")
+    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "pass", words.alias("words"), "position").orderBy("position", "doc_id", "pass")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

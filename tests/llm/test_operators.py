@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import pytest
@@ -103,6 +104,24 @@ def test_mixing(docs, none):
     assert mixing.curriculum(none).count() == 0
 
 
+def test_mixing_places_every_pass(spark):
+    rows = [(k, "w " * (3 + k % 4), s) for s, n in (("a", 8), ("b", 40), ("c", 40)) for k in range(ord(s) * 100, ord(s) * 100 + n)]
+    docs = spark.createDataFrame([*rows, (1, None, "a")], "doc_id long, text string, source string")
+    slope, at, want = {"a": -0.5, "b": 0.0, "c": 0.5}, {}, {}
+    got = by(mixing.curriculum(docs).collect())
+    for k, t, s in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        n, total, budget, a = len(t.split()), got[k].source_size, math.floor(got[k].target + 0.5), slope[s]
+        for x in range(at.get(s, 0), budget, total):
+            u = x / budget
+            want.setdefault(k, []).append(u if a == 0 else (math.sqrt((1 - a) ** 2 + 4 * a * u) - (1 - a)) / (2 * a))
+        at[s] = at.get(s, 0) + n
+    assert max(map(len, want.values())) == 3 and got[1].positions is None
+    assert all((got[k].positions or []) == pytest.approx(want.get(k, []), abs=1e-6) and got[k].position == (got[k].positions or [None])[0] for k, *_ in rows)
+    plan = mixing.plan(docs).collect()
+    assert sum(r.words for r in plan) == sum(r.taken for r in got.values()) and sum(r["pass"] is not None for r in plan) == sum(map(len, want.values()))
+    assert [r.position for r in plan if r.position is not None] == sorted(x for r in got.values() for x in r.positions or [])
+
+
 def test_decontaminate(docs, none, bench):
     for most in (1000, 0):
         rows = decontaminate.judge(decontaminate.scan(docs, bench, max_set=most)).collect()
