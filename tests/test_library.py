@@ -81,3 +81,9 @@ def test_segmentation_by_all_words(spark, tmp_path):
     texts = spark.createDataFrame([(k, t and t.replace(" ", "")) for k, t in [*rows, (52, "zz")]], "item_id long, letters string")
     joined = {r.item_id: r.words for r in segment.segmented(texts, lexicon, lexicon_bytes=0).collect()}
     assert joined == {k: None if v is None else v.split() for k, v in want.items()} | {52: None}
+
+
+def test_classes_of_long_chains(spark):
+    names = [f"n{k:03}" for k in range(130)]
+    edges = spark.createDataFrame([*zip(names[1:], names[:-1], strict=True), ("z1", "z0"), ("z2", None)], "a string, b string")
+    assert {r.node: r.root for r in graph.least_labels(edges).collect()} == {n: "n000" for n in names} | {"z0": "z0", "z1": "z0"}
