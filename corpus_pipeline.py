@@ -11,11 +11,17 @@ from lexloom.llm.common import checkpoint, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row, a hash of all columns: rows that share it are alike, so stages judge by it and not by doc_id."""
+    parts = [F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in COLUMNS]
+    return docs.select(*COLUMNS, F.md5(F.concat_ws("|", *parts).cast("binary")).alias("row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Gumbel top-k draws (op 9)."""
-    d = docs.select(*COLUMNS)
-    kept = quality_classifier.resample(d, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("kept").select("doc_id")
-    return d.join(kept.withColumnRenamed("doc_id", "_k"), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
+    """Rows that the Gumbel top-k draws (op 9)."""
+    d = keyed(docs)
+    kept = quality_classifier.resample(d, table(spark, sf_dir, "labels")).where("kept").select("row").distinct()
+    return d.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +31,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each SimHash class (op 5); rows without doc_id stay only where a class has no other."""
-    d = docs.select(*COLUMNS)
-    first = simhash.classes(d).where("doc_id <=> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    return d.join(first, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
+    """One row of each SimHash class (op 5): of the least doc_id, and one without doc_id only where the class has no other."""
+    d = keyed(docs)
+    first = simhash.classes(d).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select("x.row")
+    return d.join(first, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark (op 7)."""
-    d = docs.select(*COLUMNS)
-    bad = decontaminate.judge(decontaminate.scan(d, table(spark, sf_dir, "benchmark"))).where("contaminated").select(F.col("doc_id").alias("_k")).distinct()
-    return d.join(bad, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti").select(*COLUMNS)
+    """Rows that are not contaminated by the benchmark (op 7)."""
+    d = keyed(docs)
+    judged = decontaminate.judge(decontaminate.scan(d.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
+    return d.join(judged.where("contaminated").select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near), ("benchmark decontamination", clean), ("mixing", mix)]
-#: SQL has neither the classifier nor SimHash; tests/llm hold the stages against brute force.
+#: SQL has neither the classifier nor SimHash; tests/llm hold the decisions of the stages against brute force.
 ORACLE_SQL = None
 
 

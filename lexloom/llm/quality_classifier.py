@@ -86,17 +86,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """The rows of docs with log_weight and n_features."""
+    """The rows of docs with log_weight and n_features, and the string row where docs has one."""
+    row = ["row"] if "row" in docs.columns else []
     table_ = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [features(t or b"") for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([float(table_.value[x].sum()) for x in f], pa.float64()), pa.array([len(x) for x in f], pa.int64())], ["doc_id", "log_weight", "n_features"]
+                [b.column(0), pa.array([float(table_.value[x].sum()) for x in f], pa.float64()), pa.array([len(x) for x in f], pa.int64()), *b.columns[2:]], ["doc_id", "log_weight", "n_features", *row]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, log_weight double, n_features long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    return d.mapInArrow(run, "doc_id long, log_weight double, n_features long" + ", row string" * len(row))
 
 
 def kth(keys: DataFrame, column: str, k: int) -> float:
@@ -121,7 +123,7 @@ def kth(keys: DataFrame, column: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, log_weight, n_features, key, kept) for every row; kept rows are the Gumbel top-k."""
+    """(doc_id, log_weight, n_features, key, kept) for every row, and the string row where docs has one; kept rows are the Gumbel top-k."""
     ratio, fine = fit(docs, labels)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
     rows = weights(docs, ratio).withColumn("rate", F.col("log_weight") / F.greatest("n_features", F.lit(1)))
@@ -134,7 +136,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         level = min(0.0, known[-1]["rate"]) if known else level
     n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("rate") >= level).alias("k")).first()
     least = kth(rows, "key", n["k"]) if n["k"] < n["n"] else -float("inf")
-    return rows.select("doc_id", "log_weight", "n_features", "key", (F.col("key") >= least).alias("kept"))
+    return rows.select("doc_id", "log_weight", "n_features", "key", (F.col("key") >= least).alias("kept"), *(["row"] if "row" in rows.columns else []))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

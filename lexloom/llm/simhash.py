@@ -56,12 +56,14 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in text_bytes(b.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint) for every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp bigint) for every row, and the string row where docs has one."""
+    row = ["row"] if "row" in docs.columns else []
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    return d.mapInArrow(_fingerprints, "doc_id long, fp long" + ", row string" * len(row))
 
 
 def _signed(x: int) -> int:
@@ -174,13 +176,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row."""
+    """(doc_id, fp, root, component_id) for every row, and the string row where docs has one; root is a class's own fingerprint."""
     f = checkpoint(fingerprints(docs))
     distinct = checkpoint(f.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(links(distinct))
     root = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return f.join(root.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return f.join(root.join(ids, "root").select("fp", "root", "component_id"), "fp").select(*f.columns, "root", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

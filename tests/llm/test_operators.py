@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from lexloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, paragraph_dedup, quality_classifier, quality_rules, simhash, substring_dedup
 
 LONG = " ".join(f"word{k}" for k in range(60))
@@ -182,3 +183,25 @@ def test_suffix_hot_keys_of_batches(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = substring_dedup.dedup(docs, hot=2).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)
+
+
+def staged(spark, rows):
+    return spark.createDataFrame([(*r, "en", "a", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    hit, fine = " ".join(LONG.split()[:20]), [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    spark.createDataFrame([(1, hit)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(None, hit), (None, fine[0]), (1, hit), (1, fine[1]), (2, fine[2]), (2, fine[2]), (3, None), (None, None)]
+    texts = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+    assert texts(corpus_pipeline.clean(spark, staged(spark, rows), str(tmp_path))) == sorted((r for r in rows if r[1] != hit), key=str)
+    rows = [(5, fine[0]), (5, fine[0]), (5, fine[1]), (None, fine[0]), (None, fine[2]), (None, fine[2]), (None, fine[3]), (None, fine[1]), (4, fine[4]), (4, fine[5])]
+    assert texts(corpus_pipeline.near(spark, staged(spark, rows), str(tmp_path))) == sorted({(5, fine[0]), (5, fine[1]), (None, fine[2]), (None, fine[3]), (4, fine[4]), (4, fine[5])}, key=str)
+    rng = random.Random(2)
+    rows = [(k % 12 if k % 5 else None, " ".join(rng.choice(fine[k % 2 * 3 : k % 2 * 3 + 3]).split()[:30] + [f"y{k}"])) for k in range(80)]
+    docs = corpus_pipeline.keyed(staged(spark, rows))
+    drawn = quality_classifier.resample(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()
+    assert 0 < sum(r.kept for r in drawn) < 80
+    got = corpus_pipeline.keyed(corpus_pipeline.quality(spark, docs, str(tmp_path))).collect()
+    assert sorted(r.row for r in got) == sorted(r.row for r in drawn if r.kept)
