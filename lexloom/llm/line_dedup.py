@@ -1,8 +1,9 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by exact windows of line hashes.
 
 A document is the sequence of the 128-bit hashes of its non-blank lines, white space at their ends removed.  Every
-window of ``WINDOW`` consecutive lines selects its least line hash as fingerprint, so two documents that share a run of
-WINDOW lines or more select the same fingerprint inside it; a line of ``LONG`` words or more is a window of its own.
+``WINDOW`` consecutive lines are a window, and so is a line of ``long`` words or more (``LONG`` by default); no minima are
+selected, so this is not winnowing.  A shorter line stays unless a neighbour is repeated with it; with ``long`` at 1 every
+line is a window and every later occurrence of a line goes.
 Windows are joined by (fingerprint, window hash) to the first position, in the order of doc_id and line, where they
 stand; later windows are deleted, and windows that touch extend each other both ways to the whole repeated run.
 Positions are judged on the input, so what is kept never depends on what else is deleted.
@@ -18,6 +19,7 @@ carried unchanged, whatever their names but ``_o`` and ``_h``; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +39,17 @@ def windows(text: bytes, long: int = LONG) -> Iterator[tuple[bytes, bytes, list[
     h = [xxhash.xxh3_128_digest(s) for _, s in lines]
     for k in range(len(lines)):
         run = h[k : k + WINDOW]
-        if len(run) == WINDOW:
+        if len(run) == WINDOW and long > 1:  # at 1 every line of a repeated window is a repeated window itself
             yield min(run)[:8], xxhash.xxh3_128_digest(b"".join(run)), [i for i, _ in lines[k : k + WINDOW]]
         if len(lines[k][1]) >= 2 * long - 1 and len(lines[k][1].split()) >= long:
             yield h[k][:8], h[k], [lines[k][0]]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], long: int = LONG) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[], [], [], []]
         for i, t in enumerate(text_bytes(b.column(2))):
-            for fp, win, at in windows(t or b""):
+            for fp, win, at in windows(t or b"", long):
                 for x, v in zip(out, (fp, win, i, at), strict=True):
                     x.append(v)
         at = pa.array(out[2], pa.int32())
@@ -56,19 +58,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, long: int = LONG) -> DataFrame:
     """(_o, _h, gone): the numbers of the lines that go, for documents that lose any."""
-    rows = docs.select("_o", "_h", F.col("text").cast("string").alias("text")).mapInArrow(_rows, "fp binary, win binary, _o long, _h long, lines array<int>")
+    rows = docs.select("_o", "_h", F.col("text").cast("string").alias("text")).mapInArrow(partial(_rows, long=long), "fp binary, win binary, _o long, _h long, lines array<int>")
     here = F.struct("_o", "_h", F.col("lines")[0].alias("at"))
     first = rows.groupBy("fp", "win").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "win", "first")
     later = rows.join(first, ["fp", "win"]).where(here > F.col("first"))
     return later.select("_o", "_h", F.explode("lines").alias("line")).groupBy("_o", "_h").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, long: int = LONG) -> DataFrame:
     """docs with the repeated lines deleted from text, and n_lines and n_removed."""
     d = docs.withColumns({"_o": ordered_id(), "_h": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    gone = repeated_lines(d)
+    gone = repeated_lines(d, long)
     d = d.join(gone, ["_o", "_h"], "left")
     cut = F.expr("transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\\n'))[0]")
     n = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")

@@ -185,6 +185,20 @@ def test_suffix_hot_keys_of_batches(spark):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)
 
 
+def test_lines_of_one_line_runs(spark):
+    rng = random.Random(9)
+    rows = [(k % 25 if k % 9 else None, "\n".join(rng.choice(["one", "a b c", " a b c", "", f"x{rng.random()}", "same words here"]) for _ in range(6))) for k in range(40)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), long=1).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    per_line = {}
+    for r in got:
+        for x in r.text.split("\n"):
+            per_line[x.strip()] = per_line.get(x.strip(), 0) + bool(x.strip())
+    assert {x for x in per_line if x} == {x.strip() for _, t in order for x in t.split("\n")} - {""} and max(per_line.values()) == 1
+    lines = [len([x for x in t.split("\n") if x.strip()]) for _, t in rows]
+    assert sum(r.n_removed for r in got) == sum(lines) - len([x for x in per_line if x])
+
+
 def staged(spark, rows):
     return spark.createDataFrame([(*r, "en", "a", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
 
