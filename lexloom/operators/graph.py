@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the session's checkpoint folder; one is set here only where none is."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexloom-"))
-    return df.checkpoint(eager=True)
+from lexloom.operators.store import kept
 
 
 def least_labels(edges: DataFrame) -> DataFrame:
@@ -22,13 +14,13 @@ def least_labels(edges: DataFrame) -> DataFrame:
     A round takes the least label of the neighbours, then the label of that label, until no label changes; every round is checkpointed.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    both = _checkpoint(e.union(e.select("b", "a")).distinct())
-    label = _checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
+    both = kept(e.union(e.select("b", "a")).distinct())
+    label = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hop = label.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("via"))
         jump = hop.join(label.select(F.col("node").alias("via"), F.col("root").alias("far")), "via")
-        now = _checkpoint(jump.select("node", F.least("via", "far").alias("root"), (F.least("via", "far") < F.col("before")).alias("moved")))
+        now = kept(jump.select("node", F.least("via", "far").alias("root"), (F.least("via", "far") < F.col("before")).alias("moved")))
         label = now.select("node", "root")
         if not now.where("moved").take(1):
             return label

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import LATIN, TextProfile, sentences, units
+from lexloom.operators.store import kept
 
 START, END = "<s>", "</s>"
 DISCOUNT = 0.75
@@ -39,10 +40,26 @@ def weighted(*corpora: tuple[DataFrame, float]) -> DataFrame:
     return every.groupBy(*keys).agg(F.bround(F.sum("c")).cast("long").alias("c")).where("c > 0")
 
 
+def counts(docs: DataFrame, profile: TextProfile = LATIN) -> tuple[DataFrame, DataFrame]:
+    """Bigrams (v, w, c) and trigrams (u, v, w, c) from one pass over the texts; the trigrams are kept, for the bigrams are their sums.
+
+    Every sentence begins with a trigram of the start pad, so its first bigram is that trigram's head.
+    """
+    tri = kept(grams(padded(docs, profile), 3).select(F.col("g1").alias("u"), F.col("g2").alias("v"), F.col("g3").alias("w"), "c"))
+    head = tri.where(F.col("u") == START).select(F.col("u").alias("v"), F.col("v").alias("w"), "c")
+    return tri.select("v", "w", "c").unionByName(head).groupBy("v", "w").agg(F.sum("c").alias("c")), tri
+
+
+def _discounted(rows: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Kept rows with total, the sum of their context before pruning, and back; sums of a context are partial, so a frequent one is no task's own."""
+    sums = rows.groupBy(*by).agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") >= least, F.col("c") - DISCOUNT)).alias("held"))
+    sums = sums.where("held IS NOT NULL").select(*by, "total", (1 - F.col("held") / F.col("total")).alias("back"))
+    return rows.where(F.col("c") >= least).join(sums, by)
+
+
 def pruned(bi: DataFrame, least: int = 2) -> DataFrame:
     """Kept bigrams with the total of their context before pruning and its back-off weight 1 - sum(c - D) / total."""
-    t = bi.withColumn("total", F.sum("c").over(W.partitionBy("v"))).where(F.col("c") >= least)
-    return t.withColumn("back", 1 - F.sum(F.col("c") - DISCOUNT).over(W.partitionBy("v")) / F.col("total"))
+    return _discounted(bi, ["v"], least)
 
 
 def unigram(bi: DataFrame) -> DataFrame:
@@ -70,14 +87,22 @@ def top_successors(model: DataFrame, k: int = 3) -> DataFrame:
     return model.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def continuation(bi: DataFrame, least: int = 2) -> DataFrame:
-    """Distinct predecessors with c >= least, the start pad left out."""
-    return bi.where((F.col("c") >= least) & (F.col("v") != START)).groupBy("w").agg(F.count("*").alias("n"))
+def continuation(bi: DataFrame, least: int = 2, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(w, n): distinct predecessors with c >= least, the start pad left out; of a vocabulary (w) if one is given."""
+    kept_ = bi.where((F.col("c") >= least) & (F.col("v") != START))
+    if vocabulary is not None:
+        kept_ = kept_.join(vocabulary.select(F.col("w").alias("v")), "v", "left_semi")
+    return kept_.groupBy("w").agg(F.count("*").alias("n"))
 
 
 def trigram_prob(tri: DataFrame, bi_prob: DataFrame) -> DataFrame:
     """Interpolated P(w | u, v), never under FLOOR * P(w | v); tri has u, v, w, c."""
-    u, v = W.partitionBy("u", "v"), F.col("c")
-    t = tri.withColumn("total", F.sum("c").over(u)).where("c >= 2").withColumn("back", 1 - F.sum(v - DISCOUNT).over(u) / F.col("total"))
-    t = t.join(bi_prob.select("v", "w", F.col("p").alias("p2")), ["v", "w"])
+    t = _discounted(tri, ["u", "v"], 2).join(bi_prob.select("v", "w", F.col("p").alias("p2")), ["v", "w"])
     return t.withColumn("p", F.greatest((F.col("c") - DISCOUNT) / F.col("total") + F.col("back") * F.col("p2"), FLOOR * F.col("p2")))
+
+
+def without(tri: DataFrame, words: DataFrame) -> DataFrame:
+    """Trigrams whose three words are all among words (w); contexts left empty go with their last trigram."""
+    for c in ("u", "v", "w"):
+        tri = tri.join(words.select(F.col("w").alias(c)), c, "left_semi")
+    return tri.select("u", "v", "w", "c")
