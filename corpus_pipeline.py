@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier, however short (op 3 with every line a window)."""
-    d = line_dedup.dedup(docs.select(*COLUMNS), long=1)
+    """Documents without the lines that stand earlier, however short (op 3 with a guarantee of one word)."""
+    d = line_dedup.dedup(docs.select(*COLUMNS), least=1)
     return d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
