@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import evalstats, graph, guard, memory, ngram, segment
 from lexloom.operators.store import kept, running
-from lexloom.plans import analytics, models
+from lexloom.plans import analytics, models, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -324,6 +324,6 @@ OWN_SQL = {
     "decayed_records": "WITH e AS (SELECT user_id, event_type, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM events), t AS (SELECT max(day) AS today FROM e), r AS (SELECT event_type, user_id, round(sum(power(0.5, (today - day) / 14.0)), 6) AS weight FROM e, t GROUP BY 1, 2) SELECT event_type, user_id, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY weight DESC, user_id) AS rank FROM r WHERE weight >= 0.05) WHERE rank <= 20",
 }
 
-BUILT |= analytics.BUILT | models.BUILT
+BUILT |= analytics.BUILT | models.BUILT | packing.BUILT
 QUERIES = {**{n: shared(q) for n, q in SHARED.items()}, **BUILT}
-SQL = {**{n: re.sub(r"\{(\w+)\}", r"\1", q).replace("datediff(DAY", "date_diff('day'") for n, q in SHARED.items()}, **OWN_SQL, **analytics.SQL, **models.sql(_BI)}
+SQL = {**{n: re.sub(r"\{(\w+)\}", r"\1", q).replace("datediff(DAY", "date_diff('day'") for n, q in SHARED.items()}, **OWN_SQL, **analytics.SQL, **models.sql(_BI), **packing.sql(_BI, _U)}
