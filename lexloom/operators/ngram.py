@@ -13,10 +13,10 @@ DISCOUNT = 0.75
 FLOOR = 0.5
 
 
-def padded(docs: DataFrame, profile: TextProfile = LATIN) -> DataFrame:
-    """(doc_id, sid, u): units of every sentence between the pads."""
+def padded(docs: DataFrame, profile: TextProfile = LATIN, least: int = 1) -> DataFrame:
+    """(doc_id, sid, u): units of every sentence of ``least`` units or more between the pads."""
     s = docs.select("doc_id", F.posexplode(sentences(F.col("text"), profile)).alias("sid", "s")).select("doc_id", "sid", units(F.col("s"), profile).alias("w"))
-    return s.where(F.size("w") > 0).select("doc_id", "sid", F.concat(F.array(F.lit(START)), "w", F.array(F.lit(END))).alias("u"))
+    return s.where(F.size("w") >= least).select("doc_id", "sid", F.concat(F.array(F.lit(START)), "w", F.array(F.lit(END))).alias("u"))
 
 
 def grams(pads: DataFrame, n: int) -> DataFrame:

@@ -30,20 +30,51 @@ def best_path(text: str, scores: dict[str, float], longest: int) -> list[str] |
     return out[::-1]
 
 
-def expected(text: str, scores: dict[str, float], longest: int) -> dict[str, float]:
-    """Expected count of every word over all segmentations, by forward and backward sums of 10 ** score."""
+def _log10_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log10(sum(10 ** (t - top) for t in terms))
+
+
+def expected(text: str, scores: dict[str, float], longest: int, least: float = 0.0) -> dict[str, float]:
+    """Expected count of every word over all segmentations, where it is ``least`` or more; sums run in logarithms, so a text of any length has them."""
     n = len(text)
-    ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    arcs = [(a, b, 10 ** scores[text[a:b]]) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1) if text[a:b] in scores]
+    arcs = [(a, b, scores[text[a:b]]) for a in range(n) for b in range(a + 1, min(n, a + longest) + 1) if text[a:b] in scores]
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    out_of: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for a, b, p in arcs:
-        ahead[b] += ahead[a] * p
-    for a, b, p in reversed(arcs):
-        back[a] += back[b] * p
-    out: dict[str, float] = {}
-    if ahead[n] > 0 and math.isfinite(ahead[n]):
-        for a, b, p in arcs:
-            out[text[a:b]] = out.get(text[a:b], 0.0) + ahead[a] * p * back[b] / ahead[n]
-    return out
+        into[b].append((a, p))
+        out_of[a].append((b, p))
+    ahead: list[float | None] = [0.0] + [None] * n
+    back: list[float | None] = [None] * n + [0.0]
+    for k in range(1, n + 1):
+        if terms := [ahead[a] + p for a, p in into[k] if ahead[a] is not None]:
+            ahead[k] = _log10_sum(terms)
+    for k in range(n - 1, -1, -1):
+        if terms := [back[b] + p for b, p in out_of[k] if back[b] is not None]:
+            back[k] = _log10_sum(terms)
+    total: dict[str, float] = {}
+    for a, b, p in arcs if ahead[n] is not None else ():
+        if ahead[a] is not None and back[b] is not None:
+            total[text[a:b]] = total.get(text[a:b], 0.0) + 10 ** (ahead[a] + p + back[b] - ahead[n])
+    return {w: e for w, e in total.items() if e >= least}
+
+
+def expected_counts(texts: DataFrame, lexicon: DataFrame, least: float = 0.01, lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
+    """(w, e): expected counts of words over all texts (column letters), of each text those of ``least`` or more.
+
+    lexicon has w and c.  Fails for a lexicon of more than lexicon_bytes, which is not to be broadcast.
+    """
+    n = lexicon.agg(F.coalesce(F.sum(F.octet_length("w") + WORD_BYTES), F.lit(0)).alias("bytes"), F.coalesce(F.sum("c"), F.lit(1)).alias("total")).first()
+    if n["bytes"] > lexicon_bytes:
+        raise ValueError(f"a lexicon of {n['bytes']} bytes is not broadcast")
+    scores = {r["w"]: math.log10(r["c"] / n["total"]) for r in lexicon.select("w", "c").toLocalIterator()}
+    shared = texts.sparkSession.sparkContext.broadcast((scores, max(map(len, scores), default=0)))
+
+    @F.pandas_udf("array<struct<w: string, e: double>>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else [{"w": w, "e": e} for w, e in expected(t, *shared.value, least).items()])
+
+    return texts.select(F.inline(run("letters"))).groupBy("w").agg(F.sum("e").alias("e"))
 
 
 def segmenter(spark: SparkSession, scores: dict[str, float]):

@@ -248,6 +248,13 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("item_id", F.array_join("words", " ").alias("words"))
 
 
+def expected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected counts of words over all segmentations of the letters of each benchmark text."""
+    units = table(spark, sf_dir, "benchmark").select(T.units(F.col("text")).alias("u"))
+    lexicon = units.select(F.explode("u").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return segment.expected_counts(units.select(F.array_join("u", "").alias("letters")), lexicon).select("w", F.round("e", 6).alias("e"))
+
+
 def decayed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pruned, capped records of each event type by decayed weight."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.unix_date(F.col("ts").cast("date")).alias("day"), F.lit(1.0).alias("delta"))
@@ -258,7 +265,7 @@ def decayed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUILT = {f.__name__: f for f in (
     slice_bigram_top3, trigram_interpolated, kn_continuation, ngram_unigrams, weighted_merge, model_build, scrub_counts, clean_reasons, short_hits, guard_hits, guard_report, hash_bucket, document_frequency,
-    char_trigrams, recurrence_pairs, mcnemar_exact, int8_rows, content_hash, spelling_classes, running_cap, split_halves, last_writer, wilson, memory_lookup, speed_verdict, segmented, decayed_records,
+    char_trigrams, recurrence_pairs, mcnemar_exact, int8_rows, content_hash, spelling_classes, running_cap, split_halves, last_writer, wilson, memory_lookup, speed_verdict, segmented, expected_words, decayed_records,
 )}
 
 _U = "list_transform(regexp_extract_all({x}, '[A-Za-zÀ-ÖØ-öø-ÿ]+'), lambda q: lower(q))"

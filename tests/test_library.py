@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lexloom.functions import text as T
-from lexloom.operators import decode, evalstats, fusion, graph, guard, lexicon, memory, ngram, segment, store
+from lexloom.operators import decode, evalstats, fusion, graph, guard, lexicon, memory, ngram, packs, segment, store
 from lexloom.streaming.memory import fold
 from pyspark.sql import functions as F
 
@@ -217,6 +217,53 @@ def test_segmentation():
     assert e["ab"] == pytest.approx(0.1 / 0.11) and e["a"] == pytest.approx(0.01 / 0.11)
 
 
+def test_expected_counts_against_all_segmentations(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choice("ab") for _ in range(n)): rng.randrange(1, 9) for n in (1, 1, 2, 2, 3, 3)} | {"a": 2, "b": 1}
+    total = sum(words.values())
+    scores = {w: math.log10(c / total) for w, c in words.items()}
+
+    def paths(t):
+        return [(1.0, [])] if not t else [(10 ** scores[w] * p, [w, *rest]) for w in words if t.startswith(w) for p, rest in paths(t[len(w) :])]
+
+    texts, want = ["", "a", "abba", "aabbabab", "bbbbaaaab"], {}
+    for t in texts:
+        every = paths(t)
+        mass, mine = sum(p for p, _ in every), {}
+        for p, path in every:
+            for w in path:
+                mine[w] = mine.get(w, 0.0) + p / mass
+        for w, e in mine.items():
+            want[w] = want.get(w, 0.0) + (e if e >= 0.01 else 0.0)
+    d = spark.createDataFrame([(t,) for t in [*texts, None, "xyz"]], "letters string")
+    got = {r.w: r.e for r in segment.expected_counts(d, spark.createDataFrame(list(words.items()), "w string, c long")).collect()}
+    assert got == pytest.approx({w: e for w, e in want.items() if e})
+    long = segment.expected("ab" * 3000, scores, 3)
+    assert sum(len(w) * e for w, e in long.items()) == pytest.approx(6000)
+    with pytest.raises(ValueError):
+        segment.expected_counts(d, spark.createDataFrame([("a", 1)], "w string, c long"), lexicon_bytes=0)
+
+
+def test_packs(spark):
+    w = lambda *r: spark.createDataFrame(r, "reading string, word string, at int")
+    rank = packs.named_rank(w(("r", "a", 3), ("r", "b", 1), ("r", "a", 2), ("s", "c", 1)))
+    assert {(r.reading, r.word): r["rank"] for r in rank.collect()} == {("r", "a"): 2, ("r", "b"): 1, ("s", "c"): 1}
+    assert {r.reading: r.word for r in packs.first_named(rank, w(("", "a", 0), ("", "c", 0))).collect()} == {"r": "a", "s": "c"}
+    kept, gone = packs.sent_on(w(("r", "a", 0), ("r", "b", 0)), spark.createDataFrame([("b", "z")], "word string, last string"))
+    assert [r.word for r in kept.collect()] == ["a"] and [tuple(r) for r in gone.collect()] == [("b", "z", "r")]
+    assert packs.disjoint([w(("r", "a", 0)), w(("r", "b", 0))], ["reading", "word"]) and not packs.disjoint([w(("r", "a", 0)), w(("r", "a", 1))], ["reading", "word"])
+    assert sorted(r.word for r in packs.owned([w(("r", "a", 0)), w(("s", "a", 0), ("s", "b", 0))]).collect()) == ["a", "b"]
+    assert packs.public(w(("r", "a", 0)), ["word", "secret", "at"]).columns == ["word", "at"]
+    r = spark.createDataFrame([(1.0, 5, "x"), (1.0, 6, "y"), (2.0, 1, "z")], "weight double, day int, word string")
+    assert {x.word for x in packs.trimmed(r, 2).collect()} == {"z", "y"}
+    d = spark.range(1).select(packs.differing(F.lit("abc"), F.lit("axd")).alias("p"), packs.differing(F.lit("a"), F.lit("ab")).alias("q")).first()
+    assert [tuple(x) for x in d.p] == [("b", "x"), ("c", "d")] and d.q is None
+    cells = spark.createDataFrame([(0.5, 1), (1.0, 0), (1.0, 0), (2.0, 0)], "theta double, v int")
+    assert evalstats.least_clean(cells, "theta", "v").first().theta == 1.0
+    s = spark.createDataFrame([("a", 0, 9), ("b", 9, 0), ("c", 1, 2)], "name string, new_only int, base_only int")
+    assert {x.name: x.worse for x in evalstats.worse(s).collect()} == {"a": True, "b": False, "c": False}
+
+
 def test_text_functions(spark):
     col = lambda *x: F.array(*map(F.lit, x))
     r = spark.range(1).select(
