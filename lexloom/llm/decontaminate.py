@@ -6,19 +6,23 @@ probed against the set of window hashes; only hits leave the row, are verified b
 Built-in functions only.
 
 The set is broadcast only up to ``MAX_SET`` windows and ``MAX_SET_BYTES`` of text; beyond either bound the windows of
-the documents are joined to those of the benchmark by hash in a shuffle, with the same result.
+the documents are joined to those of the benchmark by 64-bit hash in a shuffle, and those that meet are verified by
+their text, with the same result.
 
 Edge cases: a null or empty text has no words and no hits; an item without words has no window; a null item_id marks
 words but is no item of the list; rows are judged one by one, so repeated rows and repeated or null ids give a row
-each; with an empty benchmark nothing is hit.  Other columns, whatever their names, are carried by ``remove`` only.
+each; texts of any length are read whole; item_id may be of any type that casts to a string; with an empty benchmark
+nothing is hit.  Other columns, whatever their names, are carried by ``remove`` only.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import stored, table, words
 
 N = 13
 #: Contaminated if at least one word in SHARE is hit.
@@ -56,16 +60,28 @@ def _found(lengths: dict[int, list[int]]) -> str:
 
 
 def _every(lengths: list[int]) -> str:
+    """SQL array of (p, n, h), a hash for every window of ``w`` of these lengths."""
     return "concat(" + ", ".join(
-        f"transform(CASE WHEN size(w) < {n} THEN array() ELSE sequence(0, size(w) - {n}) END, p -> named_struct('p', p, 'n', {n}, 'win', array_join(slice(w, p + 1, {n}), ' ')))" for n in lengths
+        f"transform(CASE WHEN size(w) < {n} THEN array() ELSE sequence(0, size(w) - {n}) END, p -> named_struct('p', p, 'n', {n}, 'h', {_hash('w', 'p', n)}))" for n in lengths
     ) + ")"
 
 
+def _beyond(d: DataFrame, wins: DataFrame, lengths: list[int]) -> DataFrame:
+    """(rid, doc_id, n_words, f) where the set is too large to broadcast: windows leave the row as 64-bit hashes, and only those that meet one of the set come back."""
+    d = stored(d)  # rid must not change between its two uses
+    hashes = functools.reduce(DataFrame.unionByName, [wins.where(F.col("len") == k).select(F.lit(k).alias("n"), F.expr(_hash("s", "0", k)).alias("h")) for k in lengths]).distinct()
+    met = d.select("rid", F.explode(F.expr(_every(lengths))).alias("x")).select("rid", "x.*").join(hashes, ["n", "h"], "left_semi")
+    met = met.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("met"))
+    return d.join(met, "rid", "left").select(
+        "rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr("transform(met, x -> named_struct('p', x.p, 'n', x.n, 'win', array_join(slice(w, x.p + 1, x.n), ' ')))").alias("f")
+    )
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_set: int = MAX_SET) -> DataFrame:
     """One row a document row: rid, doc_id, n_words, n_hit, hits (array of (p, n)), items (sorted strings)."""
     wins = item_windows(benchmark, n)
     size = wins.agg(F.count("*").alias("c"), F.sum(F.octet_length("win")).alias("b"), F.collect_set("len").alias("lens")).first()
-    small = size["c"] <= max_set and (size["b"] or 0) <= MAX_SET_BYTES
+    small = not size["c"] or size["c"] <= max_set and size["b"] <= MAX_SET_BYTES
     d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", normal_words("text").alias("w"))
     if small:
         lengths: dict[int, list[int]] = {}
@@ -74,16 +90,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_set: int = MAX_S
             lengths[k] = sorted(r["h"] for r in rows)
         d = d.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(_found(lengths)).alias("f"))
     else:
-        d = d.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(_every(sorted(size["lens"]))).alias("f"))
+        d = _beyond(d, wins, sorted(size["lens"]))
     d = d.select("rid", "doc_id", "n_words", F.explode_outer("f").alias("f")).select("rid", "doc_id", "n_words", "f.*")
     known = wins.select("win", "items")
-    if small:
-        d = d.join(F.broadcast(known), "win", "left")
-    else:
-        hit = d.where(F.col("win").isNotNull()).join(known, "win")
-        d = d.groupBy("rid", "doc_id", "n_words").agg(F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<bigint>").alias("items")).unionByName(
-            hit.select("rid", "doc_id", "n_words", "p", "n", F.col("items").cast("array<bigint>"))
-        )
+    d = d.join(F.broadcast(known) if small else known, "win", "left")
     g = d.groupBy("rid", "doc_id", "n_words").agg(
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("p", "n"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("i")
     )
