@@ -5,6 +5,7 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 prefix sums).  Schedule: over training time t in [0, 1] a source is drawn at the rate base * (1 + a * (2t - 1)); its
 integral t + a * (t*t - t) is the source's cumulative demand, which is inverted at each document's cumulative offset
 to give the document's training position, one for every pass over the source (pass k starts k source sizes later).
+Progress is the share of all words that the schedules have consumed by then, the mean of the integrals by target.
 ``curriculum`` has a row a document, range-sorted by its first position; ``plan`` has a row a taken copy, by its own.
 
 A source's documents follow one another in the order of md5(doc_id).  Prefix sums run on two levels (sums of hash
@@ -12,7 +13,8 @@ slices, then inside a slice), so no task holds a source.  A budget of b words ov
 b div S whole passes and the first b mod S words of the order one more; the document at the end of the budget is taken
 in part, so a source's words meet its target to the word.
 
-Edge cases: a null text has size 0; null sources form one source of their own; repeated rows count each and tie by
+Edge cases: texts of any length are counted whole; other columns, whatever their names, are not read; a null text has
+size 0; null sources form one source of their own; repeated rows count each and tie by
 size, so reruns give the same rows; a source without words has target 0; an empty table gives no row.
 """
 
@@ -49,7 +51,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     })
     s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("full"), F.struct("at", "level"))).over(every)["level"])
     target = F.when(F.col("water").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")))
-    return s.select("source", "source_size", "rank", "slope", target.alias("target"))
+    s = s.withColumn("target", target)
+    mean = F.sum(F.col("target") * F.col("slope")).over(every) / F.nullif(F.sum("target").over(every), F.lit(0.0))
+    return s.select("source", "source_size", "rank", "slope", "target", F.coalesce(mean, F.lit(0.0)).alias("mean_slope"))
 
 
 def _placed(docs: DataFrame, weights, max_epochs: int) -> DataFrame:
@@ -61,9 +65,9 @@ def _placed(docs: DataFrame, weights, max_epochs: int) -> DataFrame:
     goal = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, max_epochs)
     before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.withColumn("slice_at", F.coalesce(F.sum("slice_size").over(before), F.lit(0))).alias("s")
-    slices = slices.join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "slice", "slice_at", "source_size", "target", "slope").alias("s")
+    slices = slices.join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "slice", "slice_at", "source_size", "target", "slope", "mean_slope").alias("s")
     j = d.alias("d").join(slices, (F.col("d.slice") == F.col("s.slice")) & F.col("d.source").eqNullSafe(F.col("s.source")))
-    j = j.select("doc_id", "d.source", "size", "h", "d.slice", "slice_at", "source_size", "target", "slope")
+    j = j.select("doc_id", "d.source", "size", "h", "d.slice", "slice_at", "source_size", "target", "slope", "mean_slope")
     inside = W.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     j = j.withColumn("at", F.col("slice_at") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     j = j.withColumn("budget", F.floor(F.col("target") + 0.5))
@@ -72,30 +76,34 @@ def _placed(docs: DataFrame, weights, max_epochs: int) -> DataFrame:
     j = j.withColumn("taken", F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("at"))))
     a = F.col("slope")
 
-    def position(k: F.Column) -> F.Column:
+    def time(k: F.Column) -> F.Column:
         u = (F.col("at") + k * F.col("source_size")) / F.col("budget")
         root = (F.sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / F.nullif(2 * a, F.lit(0.0))
-        return F.round(F.when(a == 0, u).otherwise(root), 6)
+        return F.when(a == 0, u).otherwise(root)
+
+    def consumed(t: F.Column) -> F.Column:
+        return F.round(t + F.col("mean_slope") * (t * t - t), 6)
 
     last = F.when(F.col("rest") > F.col("at"), F.col("passes")).otherwise(F.col("passes") - 1)
-    j = j.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), position)))
-    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+    j = j.withColumn("times", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), time)))
+    j = j.withColumns({"positions": F.transform("times", lambda t: F.round(t, 6)), "progress": F.transform("times", consumed)})
+    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", "progress")
 
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position, positions), sorted by position, the first of positions (null where nothing is taken)."""
+    """(doc_id, source, size, source_size, target, taken, position, positions, progress), sorted by position, the first of positions (null where nothing is taken); progress has a value for each of positions."""
     return _placed(docs, weights, max_epochs).withColumn("position", F.col("positions")[0]).orderBy("position", "doc_id")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, pass, words, position), a row for every taken copy and for each document of which nothing is taken, sorted by position."""
-    j = _placed(docs, weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", "taken", F.posexplode_outer("positions").alias("pass", "position"))
+    """(doc_id, source, size, source_size, target, taken, pass, words, position, progress), a row for every taken copy and for each document of which nothing is taken, sorted by position."""
+    j = _placed(docs, weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", "taken", F.posexplode_outer(F.arrays_zip("positions", "progress")).alias("pass", "x")).select("*", F.col("x.positions").alias("position"), F.col("x.progress").alias("progress"))
     words = F.when(F.col("pass").isNull(), F.lit(0)).otherwise(F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))).cast("long")
-    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "pass", words.alias("words"), "position").orderBy("position", "doc_id", "pass")
+    return j.select("doc_id", "source", "size", "source_size", "target", "taken", "pass", words.alias("words"), "position", "progress").orderBy("position", "doc_id", "pass")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", F.col("progress")[0].alias("progress"))
 
 
 #: DuckDB SQL over a relation of documents named by {docs}.
@@ -114,6 +122,7 @@ j AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope, floor(t.target
 k AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM j),
 n AS (SELECT *, passes * size + greatest(0, least(size, budget - passes * source_size - at_)) AS taken, at_::DOUBLE / budget::DOUBLE AS u FROM k)
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
-  CASE WHEN taken > 0 THEN round(CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END, 6) + 0.0 END AS position FROM n
+  CASE WHEN taken > 0 THEN round(t, 6) + 0.0 END AS position, CASE WHEN taken > 0 THEN round(t + ms * (t * t - t), 6) + 0.0 END AS progress
+FROM (SELECT *, CASE WHEN slope = 0 THEN u ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END AS t FROM n) CROSS JOIN (SELECT coalesce(sum(target * slope) / nullif(sum(target), 0), 0) AS ms FROM t)
 """
 SQL = SQL_OF.replace("{docs}", "documents")
