@@ -1,10 +1,12 @@
 import hashlib
 import math
 import random
+import zlib
 
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lexloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, paragraph_dedup, quality_classifier, quality_rules, simhash, substring_dedup
 
 LONG = " ".join(f"word{k}" for k in range(60))
@@ -72,12 +74,45 @@ def test_suffix(docs, none, hot):
     assert substring_dedup.dedup(none).count() == 0
 
 
-def test_lines(docs, none):
+def test_lines(spark, docs, none):
     d = line_dedup.dedup(docs)
     assert set(docs.columns) <= set(d.columns)
     rows = by(d.collect())
     assert rows[1].n_removed == 0 and rows[2].n_removed == 3 and rows[2].text == "" and rows[3].text is None
     assert line_dedup.dedup(none).count() == 0
+    odd = spark.createDataFrame([(1, "a b c d e\nx", 7, 8, "o", "h", "g")], "doc_id long, text string, n_lines int, n_removed int, o string, h string, gone string")
+    r = line_dedup.dedup(odd.unionAll(odd.withColumn("doc_id", odd.doc_id + 1))).orderBy("doc_id").collect()
+    assert [(x.n_lines_in, x.n_removed_in, x.o, x.h, x.gone) for x in r] == [(7, 8, "o", "h", "g")] * 2 and [(x.n_lines, x.n_removed, x.text) for x in r] == [(2, 0, "a b c d e\nx"), (2, 2, "")]
+
+
+def brute_lines(rows, least):
+    """Texts without the lines of runs of ``least`` words that stand earlier, by looking at every run of every document."""
+    where, docs = {}, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = [(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()]
+        docs.append((i, t, lines))
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                where.setdefault(tuple(x for _, x in lines[a:b]), (len(docs), a))
+    out = []
+    for n, (i, t, lines) in enumerate(docs, 1):
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(x for _, x in lines[a:b])
+                if sum(len(x.split()) for x in run) >= least and where[run] < (n, a):
+                    gone |= {k for k, _ in lines[a:b]}
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [1, 5, 9])
+def test_lines_against_every_run(spark, least):
+    rng = random.Random(least)
+    pool = ["a", "b", "c d", "e f", "g h i", "j k l m n", " j k l m n", "", "o p q r s t u v w x"]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for k in range(40)] + [(90, None), (91, "")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), least).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_lines(rows, least)
 
 
 def test_html(spark):
@@ -123,12 +158,14 @@ def test_mixing_places_every_pass(spark):
     assert [r.position for r in plan if r.position is not None] == sorted(x for r in got.values() for x in r.positions or [])
 
 
-def test_decontaminate(docs, none, bench):
-    for most in (1000, 0):
-        rows = decontaminate.judge(decontaminate.scan(docs, bench, max_set=most)).collect()
-        assert len(rows) == len(ROWS)
-        c = by(rows)
-        assert c[1].n_hit == 20 and c[1]["items"] == ["1"] and c[None].n_hit == 2 and c[3].n_words == 0 and not c[6].contaminated
+def test_decontaminate(spark, docs, none, bench):
+    named = bench.withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id").cast("string")))
+    for items, name in ((bench, "1"), (named, "item-1")):
+        for most in (1000, 0):
+            rows = decontaminate.judge(decontaminate.scan(docs, items, max_set=most)).collect()
+            assert len(rows) == len(ROWS)
+            c = by(rows)
+            assert c[1].n_hit == 20 and c[1]["items"] == [name] and c[None].n_hit == 2 and c[3].n_words == 0 and not c[6].contaminated
     assert decontaminate.scan(none, bench).count() == 0 and decontaminate.scan(docs, bench.limit(0)).count() == len(ROWS)
 
 
@@ -188,7 +225,7 @@ def test_suffix_hot_keys_of_batches(spark):
 def test_lines_of_one_line_runs(spark):
     rng = random.Random(9)
     rows = [(k % 25 if k % 9 else None, "\n".join(rng.choice(["one", "a b c", " a b c", "", f"x{rng.random()}", "same words here"]) for _ in range(6))) for k in range(40)]
-    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), long=1).collect()
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     per_line = {}
     for r in got:
@@ -219,3 +256,177 @@ def test_stages_judge_rows(spark, tmp_path):
     assert 0 < sum(r.kept for r in drawn) < 80
     got = corpus_pipeline.keyed(corpus_pipeline.quality(spark, docs, str(tmp_path))).collect()
     assert sorted(r.row for r in got) == sorted(r.row for r in drawn if r.kept)
+
+
+def brute_components(pairs, n):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket", [2048, 4])
+def test_simhash_against_all_pairs(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # at 4 the buckets are dealt again on finer blocks
+    rng = random.Random(bucket)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = sorted({x ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for x in base for _ in range(6)} | {base[0] & ~255 | k for k in range(40)})
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = {frozenset((fps.index(r.a % (1 << 64)), fps.index(r.b % (1 << 64)))) for r in simhash.links(frame).collect()}
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert brute_components([tuple(p) for p in got if len(p) == 2], len(fps)) == brute_components(near, len(fps))
+
+
+def test_simhash_of_texts(spark):
+    import xxhash
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(30)]
+    texts = [None, "", " \t\n", "One", "one TWO", "ONE two three"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 40))) for _ in range(40)]
+    texts += [t.upper() for t in texts[6:16]]
+
+    def mark(t):
+        w = (t or "").lower().split()
+        if not w:
+            return 0
+        s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or [" ".join(w)]
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    marks = [mark(t) for t in texts]
+    rows = by(simhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [rows[k].fp % (1 << 64) for k in range(len(texts))] == marks
+    near = [(a, b) for a in range(len(marks)) for b in range(a) if (marks[a] ^ marks[b]).bit_count() <= 2]
+    assert [rows[k].component_id for k in range(len(texts))] == brute_components(near, len(marks))
+
+
+def test_kth_against_a_sort(spark):
+    rng = random.Random(4)
+    values = [rng.choice([-1.5, 0.0, 2.25]) for _ in range(30)] + [rng.uniform(-1e6, 1e6) for _ in range(200)] + [1e-300, 1e300]
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
+    order = sorted(values, reverse=True)
+    assert [quality_classifier.kth(keys, "key", k) for k in (1, 2, 40, 115, 232)] == [order[k - 1] for k in (1, 2, 40, 115, 232)]
+
+
+def test_quality_weights_against_counts(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(50)]
+    rows = [(k, " ".join(rng.choice(vocabulary[: 25 if k % 2 else 50]) for _ in range(30))) for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    ratio, apart = quality_classifier.fit(docs, labels)
+    good = sorted(k for k in range(60) if k % 2)
+    assert apart == good[::2]
+    n = np.zeros((2, quality_classifier.BUCKETS))
+    for k, t in rows:
+        f = np.bincount(quality_classifier.features((t or "").encode()), minlength=quality_classifier.BUCKETS)
+        n[0] += f
+        n[1] += f * (k in good[1::2])
+    want = np.log((n[1] + quality_classifier.SMOOTH) / (n[0] * (n[1].sum() / n[0].sum()) + quality_classifier.SMOOTH))
+    assert np.allclose(ratio, want)
+    drawn = by(quality_classifier.resample(docs, labels).collect())
+    for k, t in rows:
+        assert drawn[k].log_weight == pytest.approx(sum(want[x] for x in quality_classifier.features((t or "").encode())))
+    kept = sorted((r.key for r in drawn.values() if r.kept), reverse=True)
+    assert kept == sorted((r.key for r in drawn.values()), reverse=True)[: len(kept)] and len(kept) < len(rows)
+
+
+def test_language_accuracy(spark):
+    rng = random.Random(6)
+    syllables = {"en": ["the", "ing", "er", "on", "st"], "de": ["sch", "ung", "ein", "ich", "tz"], "fr": ["eau", "oi", "que", "eux", "re"]}
+    rows = [(k, " ".join("".join(rng.choice(syllables[x]) for _ in range(rng.randrange(1, 4))) for _ in range(25)), x) for k in range(240) for x in [list(syllables)[k % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in language_id.predict(docs, language_id.train(docs)).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(got) > 30 and sum(r.lang_pred == rows[r.doc_id][2] for r in got) >= 0.97 * len(got)
+
+
+def wrapped(k, notice, menu, extra=""):
+    body = "".join(f"<p>text {k} {j} words</p>" for j in range(3))
+    return f"<html><body><div><div>{menu}</div></div><div class='x1'><div><h2>Title {k}</h2><div>{notice}</div>{extra}{body}<ul><li>item {k}</li></ul></div></div><div>All rights kept</div></body></html>"
+
+
+def test_html_induction_decides(spark):
+    """Hosts without article elements or telling classes: what is alike on all pages goes, headings and lists of the content stay."""
+    rows = [(k, f"http://a.example/{k}", wrapped(k, "Read more of this", "Home and news", "<h3>sub</h3>" * (k % 3 == 0) + f"<table><tr><td>cell {k}</td></tr></table>" * (k % 4 == 1))) for k in range(24)]
+    rows += [(100 + k, f"http://b.example/{k}", wrapped(7, "Read more of this", "Home and news")) for k in range(12)]  # copies of one page
+    rows += [(200, "http://c.example/", wrapped(9, "note", "menu"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got, plain = (by(html_text.extract(pages, induced=x).collect(), "page_id") for x in (True, False))
+    for k in range(24):
+        want = [f"Title {k}", *["sub"] * (k % 3 == 0), *[f"cell {k}"] * (k % 4 == 1), *[f"text {k} {j} words" for j in range(3)], f"item {k}"]
+        told = got[k].text.split("\n")
+        assert [x for x in told if x != "sub"] == [x for x in want if x != "sub"], (k, told)
+        assert "Read more of this" in plain[k].text and "All rights kept" in plain[k].text
+    assert {got[100 + k].text for k in range(12)} == {plain[107].text} and got[200].text == plain[200].text
+
+
+def test_html_hidden_and_hostile(spark):
+    deep = "<div>" * 400 + "<p>deep</p>"
+    rows = [(1, "http://h/", "<body><div hidden>no</div><p>yes</p></body>"), (2, "http://h/", deep), (3, "http://h/", "<p>" + "word " * 50_000), (4, None, "<p>a&amp;b")]
+    got = by(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), "page_id")
+    assert got[1].text == "yes" and got[2].text == "deep" and len(got[3].text) == 249_999 and got[4].text == "a&b"
+
+
+def test_passages_inside_long_lines(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [[word() for _ in range(n)] for n in (55, 70, 120)]
+    rows, held = [], []
+    for k in range(120):
+        own = [[word() for _ in range(rng.randrange(30, 80))] for _ in range(2)]
+        inside = passage[k % 3] if k % 2 else []
+        held.append(k % 3 if k % 2 else None)
+        rows.append((k, " ".join(own[0] + inside + own[1]) + "\n" + " ".join(word() for _ in range(12))))
+    got = by(paragraph_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    seen, caught, due = set(), 0, 0
+    for k, p in enumerate(held):
+        if p is None or p not in seen:
+            assert not got[k].passages and got[k].text == rows[k][1]
+            seen.add(p)
+            continue
+        due += 1
+        caught += bool(got[k].passages)
+        for x in got[k].passages:
+            assert set(rows[k][1].split()[x.start : x.end]) <= set(passage[p])
+    assert due > 50 and caught >= 0.9 * due
+
+
+def test_pieces_of_odd_texts():
+    for t in (b"", b" ", b"one", b"a a", b"a " * 40, b"x " * 30 + b"y z " * 20 + b"q", " ".join(map(str, range(200))).encode()):
+        w = paragraph_dedup.Words(t)
+        cut = w.pieces().tolist()
+        assert cut == sorted(set(cut)) and cut[0] == 0 and cut[-1] == len(w.hash)
+        assert paragraph_dedup.cut(t, set(), {})[0] == t
+
+
+def test_stages_against_plain_python(spark, tmp_path):
+    """Line and near-duplicate stages of the pipeline on rows with null and repeated ids; mixing takes what its targets say."""
+    rng = random.Random(13)
+    lines = [" ".join(f"{a}{k}" for k in range(9)) for a in "pqrstu"] + ["one", "two three"]
+    rows = [(k % 30 if k % 7 else None, "\n".join(rng.choice(lines) if rng.random() < 0.7 else f"own {k} {j}" for j in range(4))) for k in range(60)]
+    keep = sorted(set(rows), key=str)
+    one = {}
+    for i, t in keep:
+        one.setdefault(i, t)
+    rows = sorted(one.items(), key=str)
+    got = corpus_pipeline.lines(spark, staged(spark, rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_lines(rows, 1) and all(r.n_chars == len(r.text) for r in got)
+    plan = corpus_pipeline.mix(spark, staged(spark, rows), str(tmp_path)).collect()
+    words = {i: len(t.split()) for i, t in rows}
+    assert sum(r.words for r in plan) == sum(words.values()) and {r.doc_id for r in plan} == set(words)
+
+
+def test_mixing_follows_the_schedules(spark):
+    rows = [(k, "w " * (1 + k % 3), "abc"[k % 5 % 3]) for k in range(4000)]
+    plan = [r for r in mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["pass"] is not None]
+    target = {r.source: r.target for r in plan}
+    total = sum(target.values())
+    for s, a in zip("abc", mixing.SLOPES, strict=True):
+        for tenth in range(10):  # words of a source by tenths of time, and of all sources by tenths of progress
+            due = target[s] * (0.1 + a * ((tenth + 1) ** 2 / 100 - (tenth + 1) / 10 - tenth**2 / 100 + tenth / 10))
+            assert sum(r.words for r in plan if r.source == s and tenth / 10 <= r.position < (tenth + 1) / 10) == pytest.approx(due, abs=10)
+    for tenth in range(10):
+        assert sum(r.words for r in plan if tenth / 10 <= r.progress < (tenth + 1) / 10) == pytest.approx(total / 10, abs=30)
