@@ -305,16 +305,16 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and structure of a batch: its string, at node 0, and for each node pages, least and greatest text hash, and a sketch of the different pages."""
+    """Per host and structure of a batch: its string, at node 0, and for each node (a run's texts together) pages, least and greatest text hash, and a sketch of the different pages."""
     import xxhash
 
     for b in batches:
         seen: dict[tuple[str, str], list] = {}
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             shape, behind = compress(parse(html or ""))
-            each = [[xxhash.xxh64_intdigest(t) >> 1 for n in ns if (t := _own(n))] for ns in behind]
-            low, high = [min(x, default=0) for x in each], [max(x, default=0) for x in each]
-            bit = 1 << hash(tuple(map(tuple, each))) % 63
+            each = [xxhash.xxh64_intdigest(t) >> 1 if (t := "\n\n".join(filter(None, map(_own, ns)))) else None for ns in behind]
+            low, high = [_NONE if x is None else x for x in each], [x or 0 for x in each]
+            bit = 1 << xxhash.xxh64_intdigest(repr(each)) % 63
             sig = write(shape)
             s = seen.setdefault((host, sig), [0, low, high, 0])
             seen[host, sig] = [s[0] + 1, list(map(min, s[1], low)), list(map(max, s[2], high)), s[3] | bit]
@@ -337,8 +337,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kinds(nodes: list[dict]) -> tuple[set[int], set[int]]:
     """Varying and constant nodes: a text in one place on SUPPORT different pages is constant, on fewer it is neither."""
-    varies = {x["node"] for x in nodes if x["lo"] != x["hi"]}
-    return varies, {x["node"] for x in nodes if x["lo"] == x["hi"] != 0 and x["bits"].bit_count() >= SUPPORT}
+    varies = {x["node"] for x in nodes if x["lo"] < x["hi"]}
+    return varies, {x["node"] for x in nodes if x["lo"] == x["hi"] and x["bits"].bit_count() >= SUPPORT}
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
