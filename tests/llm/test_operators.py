@@ -3,6 +3,8 @@ import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -222,6 +224,25 @@ def test_suffix_hot_keys_of_batches(spark):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)
 
 
+def test_suffix_memory_bounds(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = [word(90), word(70), word(130)]
+    rows = [(k % 55, word(rng.randrange(40)) + passage[k % 3][rng.randrange(20) :] + word(rng.randrange(60))) for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (0, substring_dedup.HOT):  # contexts are handed on many times a batch
+        got = substring_dedup.dedup(docs, hot=hot, most=20).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_bytes(rows)
+    contexts = [t.encode() for _, t in rows if len(t) >= substring_dedup.MIN_LEN]
+    found = lambda most: {(n, c, p) for n, cs, ps in substring_dedup.maximal_repeats(contexts, np.arange(len(contexts)) // 40, most) for c, p in zip(cs.tolist(), ps.tolist(), strict=True)}
+    assert found(1) == found(1 << 16) and len(found(1)) > 100
+    # a key of one document in each of many batches is not hot; one of many documents is, whatever the batches
+    keys = np.array([7, 9], np.uint32).tobytes()
+    offered = lambda n, more: pa.table({"b": [0] * n, "keys": [keys] * n, "many": [np.array([1, more] if more else [], np.uint32).tobytes()] * n})
+    assert substring_dedup._hot_cells(substring_dedup.HOT)(offered(300, 0)).num_rows == 0
+    assert substring_dedup._hot_cells(substring_dedup.HOT)(offered(3, 4000)).column("cell").to_pylist() == [9]
+
+
 def test_lines_of_one_line_runs(spark):
     rng = random.Random(9)
     rows = [(k % 25 if k % 9 else None, "\n".join(rng.choice(["one", "a b c", " a b c", "", f"x{rng.random()}", "same words here"]) for _ in range(6))) for k in range(40)]
